@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from linkweave.llm.decontaminate import contamination
 from linkweave.llm.near_dedup import near_duplicates
+from linkweave.llm.secrets import scan
+from linkweave.llm.sql_decontaminate import SQL as CONTAMINATION_SQL
 from linkweave.llm.sql_near_dedup import SQL as NEAR_SQL
 from linkweave.llm.support import table
+from linkweave.llm.token_counts import token_counts
+from linkweave.llm.unigram import encode_decode
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,10 +22,31 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op6_novelty_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op7_unigram_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op10_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op5_whole_token_counts": op5_whole_token_counts,
+    "op6_novelty_secrets": op6_novelty_secrets,
+    "op7_unigram_codec": op7_unigram_codec,
+    "op10_automaton_decontamination": op10_automaton_decontamination,
 }
 
 ORACLES: dict[str, str] = {
     "op3_minhash_near_dedup": NEAR_SQL,
+    "op10_automaton_decontamination": CONTAMINATION_SQL,
 }
