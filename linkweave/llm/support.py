@@ -15,17 +15,22 @@ from pyspark.sql import types as T
 SLICE_BYTES = 2_000_000
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which survives lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary folder."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    own = sc._jsc.sc().getCheckpointDir()
+    return own.get() if own.isDefined() else tempfile.mkdtemp(prefix="linkweave-")
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a temporary folder is used.
-    """
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder, which survives lost executors."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="linkweave-")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
