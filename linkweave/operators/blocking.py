@@ -44,10 +44,13 @@ def _cut(array: Column, size: int) -> Column:
     return F.transform(array, lambda t: F.substring(t, 1, size))
 
 
+def _kind(kind: str, values: Column) -> Column:
+    return F.transform(F.filter(values, lambda v: v != ""), lambda v: F.concat(F.col("c"), F.lit(f"|{kind}|"), v))
+
+
 def _keys(prefix: str, kinds: list[tuple[str, Column]]) -> Column:
     """Distinct keys country|kind|value of the kinds' non-empty values."""
-    made = [F.transform(F.filter(values, lambda v: v != ""), lambda v, k=kind: F.concat(F.col("c"), F.lit(f"|{prefix}{k}|"), v)) for kind, values in kinds]
-    return F.array_distinct(F.concat(*made))
+    return F.array_distinct(F.concat(*[_kind(prefix + kind, values) for kind, values in kinds]))
 
 
 def base_keys() -> Column:
@@ -119,7 +122,7 @@ def votes(queries: DataFrame, targets: DataFrame, cap: int) -> DataFrame:
 def top(pairs: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k rows of each q; ranked with the row number, which Spark prunes before the shuffle."""
     rank = F.row_number().over(Window.partitionBy("q").orderBy(*order))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
 def candidates(queries: DataFrame, targets: DataFrame, keys: Column, cap: int = 100, most: int = 240) -> DataFrame:

@@ -65,12 +65,16 @@ def weighted_overlap(left: Column, right: Column) -> list[Column]:
     return [si / F.greatest(floor, sl + sr - si), si / F.greatest(floor, sl), si / F.greatest(floor, sr), most(left_only), most(right_only), most(common)]
 
 
+def _at_least(array: Column, k: int) -> Column:
+    return F.filter(array, lambda v: F.length(v) >= k)
+
+
 def number_features(left: Column, right: Column) -> list[Column]:
     """For numbers of at least k digits, k from 1 to 5: how many are left only, right only and common."""
     out = []
     for k in range(1, 6):
-        a, b = F.filter(left, lambda v, k=k: F.length(v) >= k), F.filter(right, lambda v, k=k: F.length(v) >= k)
-        out += [F.size(F.array_except(a, b)), F.size(F.array_except(b, a)), F.size(F.array_intersect(a, b))]
+        a, b = _at_least(left, k), _at_least(right, k)
+        out += [F.size(x).cast("long") for x in (F.array_except(a, b), F.array_except(b, a), F.array_intersect(a, b))]
     return out
 
 

@@ -61,12 +61,12 @@ def prelude(adapter: str = "documents") -> str:
     core = _without("nl", LEGAL)
     raw = "regexp_replace(regexp_replace(lower(business_name), '\\b(?:l\\W*l\\W*c|l\\W*l\\W*p|p\\W*v\\W*t)\\b', ' ', 'g'), 'https?://|www\\.|\\.(?:com|in|org|net)\\b', ' ', 'g')"
     kept = f"list_filter({_norm(raw)}, lambda t: NOT list_contains({_list([*LEGAL, *HONORIFICS])}, t) AND NOT regexp_matches(t, '^\\p{{Nd}}{{7,}}$'))"
-    letters = "list_filter(at, lambda t: regexp_matches(t, '^\\p{L}+$') AND length(t) >= 4)"
+    letters = "list_filter(adt, lambda t: regexp_matches(t, '^\\p{L}+$') AND length(t) >= 4)"
     kinds = [
         ("name", "[n]"),
         ("core", f"[{_text('nt')}]"),
         ("prefix", "[" + _text("list_sort(list_transform(nt, lambda t: substr(t, 1, 4)))") + "]"),
-        ("addr", f"[{_text('at')}]"),
+        ("addr", f"[{_text('adt')}]"),
         ("pair", _pairs("top5", 5, " ")),
         ("num", _cross("top4", "nums[1:4]", 4, 99)),
         ("local", _cross("top4", "strong[1:2]", 4, 5)),
@@ -84,7 +84,7 @@ def prelude(adapter: str = "documents") -> str:
 WITH RECURSIVE rec AS ({RECORDS[adapter]}),
 l1 AS (SELECT *, {_norm('business_name')} AS nl, {_norm('business_address')} AS al, {_text(_norm('country'))} AS c, {kept} AS el FROM rec),
 l2 AS (SELECT *, {_text('nl')} AS n, {_text('al')} AS a, {core} AS plain FROM l1),
-prep AS (SELECT *, list_sort(list_distinct(CASE WHEN len(plain) > 0 THEN plain ELSE nl END)) AS nt, list_sort(list_distinct(al)) AS at,
+prep AS (SELECT *, list_sort(list_distinct(CASE WHEN len(plain) > 0 THEN plain ELSE nl END)) AS nt, list_sort(list_distinct(al)) AS adt,
   list_sort(list_distinct(regexp_extract_all(a, '\\p{{Nd}}+'))) AS nums,
   {_text('el')} AS core, {_text('el', '')} AS compact, {_text('list_transform(el, lambda t: substr(t, 1, 1))', '')} AS acronym FROM l2),
 tops AS (SELECT *, {_longest('nt', 5)} AS top5, list_filter({_longest('nt', 4)}, lambda t: length(t) >= 3) AS top4, {_longest(letters, 4)} AS strong FROM prep),
@@ -151,8 +151,8 @@ def _numbers(a: str, b: str) -> str:
 
 _FREQ = f""",
 texts AS (
-  SELECT c, unnest([{{'kind': 'N', 'text': n}}, {{'kind': 'C', 'text': {_text('nt')}}}, {{'kind': 'E', 'text': core}}, {{'kind': 'A', 'text': {_text('at')}}}]
-    || list_transform(nt, lambda t: {{'kind': 'n', 'text': t}}) || list_transform(at, lambda t: {{'kind': 'a', 'text': t}})) AS x
+  SELECT c, unnest([{{'kind': 'N', 'text': n}}, {{'kind': 'C', 'text': {_text('nt')}}}, {{'kind': 'E', 'text': core}}, {{'kind': 'A', 'text': {_text('adt')}}}]
+    || list_transform(nt, lambda t: {{'kind': 'n', 'text': t}}) || list_transform(adt, lambda t: {{'kind': 'a', 'text': t}})) AS x
   FROM prep WHERE source = 'S1'),
 freq AS (SELECT c, x.kind AS kind, x.text AS text, count(*) AS cnt FROM texts WHERE x.text <> '' GROUP BY 1, 2, 3),
 pop AS (SELECT c, count(*) AS pop FROM prep WHERE source = 'S1' GROUP BY c)"""
@@ -221,15 +221,15 @@ GATED = "((CAST(split_part(q, '-', 2) AS BIGINT)) % 2 = 0)"
 SQL: dict[str, str] = {
     "norm_text": _prep_of("documents", "entity_id, n, a, c"),
     "norm_text_parts": _prep_of("parts", "entity_id, n, a, c"),
-    "prep_tokens": _prep_of("customers", f"entity_id, {_text('nt')} AS nt, {_text('at')} AS at, {_text('nums')} AS nums"),
-    "extended_forms": prelude("documents") + f" SELECT entity_id, core, compact, acronym, {_text('list_filter(at, lambda t: NOT regexp_matches(t, {0}))'.format(chr(39) + '^[0-9]+$' + chr(39)))} AS words, regexp_matches(n, '[^\\x00-\\x7F]') AS nonascii FROM prep",
+    "prep_tokens": _prep_of("customers", f"entity_id, {_text('nt')} AS nt, {_text('adt')} AS \"at\", {_text('nums')} AS nums"),
+    "extended_forms": prelude("documents") + f" SELECT entity_id, core, compact, acronym, {_text('list_filter(adt, lambda t: NOT regexp_matches(t, {0}))'.format(chr(39) + '^[0-9]+$' + chr(39)))} AS words, regexp_matches(n, '[^\\x00-\\x7F]') AS nonascii FROM prep",
     "phonetic_fold": _FORMS + " SELECT entity_id, rn, pn, pc, ra FROM forms",
     "blocking_keys": prelude("documents") + " SELECT entity_id, unnest(base) AS key FROM keyed",
     "extra_keys": prelude("customers") + " SELECT entity_id, unnest(extra) AS key FROM keyed",
     "block_sizes": prelude("parts") + " SELECT key, count(*) AS block, count(*) <= 20 AS used FROM post WHERE source <> 'S1' GROUP BY key",
     "candidates_topk": prelude("documents") + _candidates(100, 240) + " SELECT * FROM cand",
     "candidates_capped_ties": prelude("parts") + _candidates(20, 10) + " SELECT * FROM cand",
-    "overlap_features": prelude("documents") + _candidates(100, 240) + f" SELECT q, t, {_overlap('x.nt', 'y.nt', 'name')}, {_overlap('x.at', 'y.at', 'addr')}, {_overlap('x.nums', 'y.nums', 'nums')} FROM cand JOIN prep x ON x.entity_id = q JOIN prep y ON y.entity_id = t",
+    "overlap_features": prelude("documents") + _candidates(100, 240) + f" SELECT q, t, {_overlap('x.nt', 'y.nt', 'name')}, {_overlap('x.adt', 'y.adt', 'addr')}, {_overlap('x.nums', 'y.nums', 'nums')} FROM cand JOIN prep x ON x.entity_id = q JOIN prep y ON y.entity_id = t",
     "number_features": prelude("customers") + _candidates(100, 20) + f" SELECT q, t, {_numbers('x.nums', 'y.nums')} FROM cand JOIN prep x ON x.entity_id = q JOIN prep y ON y.entity_id = t",
     "freq_tables": prelude("documents") + _FREQ + " SELECT c, kind, text, cnt FROM freq",
     "idf_weights": prelude("documents") + _FREQ + " SELECT c, text, round(ln(1 + pop / (1 + cnt)), 9) AS weight FROM freq JOIN pop USING (c) WHERE kind = 'n'",
@@ -248,7 +248,7 @@ sets AS (SELECT x AS x0, y AS y0, list_sort(list_distinct(list_intersect(string_
   list_sort(list_distinct(list_filter(string_split(x, ' '), lambda t: NOT list_contains(string_split(y, ' '), t)))) AS l, list_sort(list_distinct(list_filter(string_split(y, ' '), lambda t: NOT list_contains(string_split(x, ' '), t)))) AS r FROM named),
 strs AS (SELECT *, array_to_string(b, ' ') AS bs, array_to_string(b || l, ' ') AS ls, array_to_string(b || r, ' ') AS rs FROM sets),
 todo AS (SELECT ls AS x, rs AS y FROM strs UNION SELECT bs, ls FROM strs UNION SELECT bs, rs FROM strs)""" + _lcs("todo") + """
-SELECT x0 AS x, y0 AS y, round(CASE WHEN len(b) > 0 AND (len(l) = 0 OR len(r) = 0) THEN 1.0 ELSE greatest(2.0 * p.l / (length(ls) + length(rs)), CASE WHEN len(b) > 0 THEN greatest(2.0 * q.l / (length(bs) + length(ls)), 2.0 * s.l / (length(bs) + length(rs))) ELSE 0 END) END, 9) AS ratio
+SELECT x0 AS x, y0 AS y, round(CASE WHEN len(b) > 0 AND (len(strs.l) = 0 OR len(strs.r) = 0) THEN 1.0 ELSE greatest(2.0 * p.l / (length(ls) + length(rs)), CASE WHEN len(b) > 0 THEN greatest(2.0 * q.l / (length(bs) + length(ls)), 2.0 * s.l / (length(bs) + length(rs))) ELSE 0 END) END, 9) AS ratio
 FROM strs JOIN lcs_of p ON p.x = ls AND p.y = rs JOIN lcs_of q ON q.x = bs AND q.y = ls JOIN lcs_of s ON s.x = bs AND s.y = rs""",
     "truth_lists": f"WITH {TRUTH} SELECT q, string_agg(DISTINCT t, ',' ORDER BY t) AS matches FROM truth GROUP BY q",
     "label_join": prelude("documents") + _candidates(100, 240) + f", {TRUTH} SELECT q, t, (q, t) IN (SELECT q, t FROM truth) AS label FROM cand",
@@ -277,10 +277,10 @@ LEFT JOIN (SELECT DISTINCT q, true AS r FROM scored WHERE t IN (SELECT t FROM na
 SELECT * FROM (VALUES ('reference_repeated', 0), ('reference_unknown', 0), ('list_repeats', 0), ('match_no_candidate', 0), ('target_prefix', 0), ('self_match', 0), ('target_spaces', 0), ('target_form', 0), ('target_unknown', 0)) v(rule, n)
 UNION ALL SELECT 'reference_missing', count(*) FROM refs WHERE CAST(split_part(q, '-', 2) AS BIGINT) % 7 = 0""",
     "reduction_ratio": prelude("documents") + _candidates(100, 240) + " SELECT (SELECT count(*) FROM cand) AS candidates, round(1 - (SELECT count(*) FROM cand) / (count(*) FILTER (source = 'S1') * count(*) FILTER (source <> 'S1')), 9) AS reduction FROM rec",
-    "error_analysis": prelude("documents") + _candidates(100, 240) + f", {TRUTH}, pairs AS (SELECT cand.q, cand.t, (cand.q, cand.t) IN (SELECT q, t FROM truth) AS label, votes >= 6 AS accepted, y.a = '' AS missing, {_overlap('x.nt', 'y.nt', 'name')}, {_overlap('x.at', 'y.at', 'addr')}, len(x.nums) - len(list_intersect(x.nums, y.nums)) AS ol, len(y.nums) - len(list_intersect(x.nums, y.nums)) AS olr FROM cand JOIN prep x ON x.entity_id = q JOIN prep y ON y.entity_id = t) SELECT CASE WHEN accepted THEN 'fp' ELSE 'fn' END AS kind, count(*) AS n, count(*) FILTER (missing) AS missing_address, count(*) FILTER (name_jaccard >= 0.9) AS name_high, count(*) FILTER (addr_jaccard >= 0.9) AS addr_high, count(*) FILTER (ol > 0 AND olr > 0) AS numbers_disagree, count(*) FILTER (name_jaccard < 0.5) AS name_low FROM pairs WHERE accepted <> label GROUP BY 1",
+    "error_analysis": prelude("documents") + _candidates(100, 240) + f", {TRUTH}, pairs AS (SELECT cand.q, cand.t, (cand.q, cand.t) IN (SELECT q, t FROM truth) AS label, votes >= 6 AS accepted, y.a = '' AS missing, {_overlap('x.nt', 'y.nt', 'name')}, {_overlap('x.adt', 'y.adt', 'addr')}, len(x.nums) - len(list_intersect(x.nums, y.nums)) AS ol, len(y.nums) - len(list_intersect(x.nums, y.nums)) AS olr FROM cand JOIN prep x ON x.entity_id = q JOIN prep y ON y.entity_id = t) SELECT CASE WHEN accepted THEN 'fp' ELSE 'fn' END AS kind, count(*) AS n, count(*) FILTER (missing) AS missing_address, count(*) FILTER (name_jaccard >= 0.9) AS name_high, count(*) FILTER (addr_jaccard >= 0.9) AS addr_high, count(*) FILTER (ol > 0 AND olr > 0) AS numbers_disagree, count(*) FILTER (name_jaccard < 0.5) AS name_low FROM pairs WHERE accepted <> label GROUP BY 1",
     "sample_bottom_k": f"WITH rec AS ({RECORDS['documents']}) SELECT entity_id, country FROM rec WHERE source = 'S1' ORDER BY md5(entity_id || '|20260926'), entity_id LIMIT 100",
     "stratified_split": f"WITH rec AS ({RECORDS['documents']}), r AS (SELECT entity_id, country, row_number() OVER (PARTITION BY country ORDER BY md5(entity_id || '|20260927'), entity_id) - 1 AS k, count(*) OVER (PARTITION BY country) AS n FROM rec WHERE source = 'S1') SELECT entity_id, country, CASE WHEN k * 5 < n * 3 THEN 'train' WHEN k * 5 < n * 4 THEN 'tune' ELSE 'hold' END AS split FROM r",
-    "union_topk_rankings": prelude("documents") + _candidates(100, 240) + f", s AS (SELECT q, t, {_overlap('x.nt', 'y.nt', 'name')}, {_overlap('x.at', 'y.at', 'addr')} FROM cand JOIN prep x ON x.entity_id = q JOIN prep y ON y.entity_id = t), k AS (SELECT q, t, name_jaccard AS name, addr_jaccard AS addr, row_number() OVER (PARTITION BY q ORDER BY name_jaccard DESC, t) AS r1, row_number() OVER (PARTITION BY q ORDER BY addr_jaccard DESC, t) AS r2 FROM s) SELECT q, t, name, addr FROM k WHERE r1 <= 3 OR r2 <= 3",
+    "union_topk_rankings": prelude("documents") + _candidates(100, 240) + f", s AS (SELECT q, t, {_overlap('x.nt', 'y.nt', 'name')}, {_overlap('x.adt', 'y.adt', 'addr')} FROM cand JOIN prep x ON x.entity_id = q JOIN prep y ON y.entity_id = t), k AS (SELECT q, t, name_jaccard AS name, addr_jaccard AS addr, row_number() OVER (PARTITION BY q ORDER BY name_jaccard DESC, t) AS r1, row_number() OVER (PARTITION BY q ORDER BY addr_jaccard DESC, t) AS r2 FROM s) SELECT q, t, name, addr FROM k WHERE r1 <= 3 OR r2 <= 3",
     "neighbors_top8": prelude("documents") + """,
 nb AS (SELECT key FROM post WHERE source = 'S1' GROUP BY key HAVING count(*) <= 500),
 nv AS (SELECT a.entity_id AS q, b.entity_id AS t, count(*) AS votes FROM post a JOIN nb USING (key) JOIN post b USING (key) WHERE a.source = 'S1' AND b.source = 'S1' GROUP BY 1, 2),
@@ -288,7 +288,7 @@ n1 AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY votes DESC, t) AS r
 n2 AS (SELECT q, t, votes, {_overlap('x.nt', 'y.nt', 'name')} FROM n1 JOIN prep x ON x.entity_id = q JOIN prep y ON y.entity_id = t WHERE r <= 120 AND q <> t),
 n3 AS (SELECT q, t, votes, name_jaccard AS sim, row_number() OVER (PARTITION BY q ORDER BY name_jaccard DESC, votes DESC, t) AS rank FROM n2) SELECT q, t, votes, sim, rank FROM n3 WHERE rank <= 8""",
     "seed_expansion": prelude("documents") + _candidates(50, 20) + f""",
-sd AS (SELECT q, t, {_overlap('x.nt', 'y.nt', 'name')}, {_text('y.nt')} || '#' || {_text('y.at')} AS sig, {_text('x.nt')} || '#' || {_text('x.at')} AS own FROM cand JOIN prep x ON x.entity_id = q JOIN prep y ON y.entity_id = t),
+sd AS (SELECT q, t, {_overlap('x.nt', 'y.nt', 'name')}, {_text('y.nt')} || '#' || {_text('y.adt')} AS sig, {_text('x.nt')} || '#' || {_text('x.adt')} AS own FROM cand JOIN prep x ON x.entity_id = q JOIN prep y ON y.entity_id = t),
 s1 AS (SELECT *, row_number() OVER (PARTITION BY q, sig ORDER BY name_jaccard DESC, t DESC) AS r FROM sd WHERE name_jaccard >= 0.5 AND sig <> own),
 s2 AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY name_jaccard DESC, t DESC) AS k FROM s1 WHERE r = 1),
 hop AS (SELECT s2.q, s2.t AS s, p2.entity_id AS t, count(*) AS votes FROM s2 JOIN post p1 ON p1.entity_id = s2.t JOIN blocks ON blocks.key = p1.key JOIN post p2 ON p2.key = p1.key AND p2.source <> 'S1' WHERE s2.k <= 3 GROUP BY 1, 2, 3),
