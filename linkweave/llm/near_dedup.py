@@ -6,6 +6,10 @@ chance of about 1e-5 at the limit itself, so they share a posting among the ``co
 threshold + 1`` rarest of each (prefix). Collisions are counted from the signatures of pairs that
 met in a prefix posting (skip), and what stays is confirmed on the full shingle sets.
 
+Each class also has a parity sketch: bit i tells whether an odd number of its shingles falls into cell
+i. Two sets differ in at least as many shingles as their sketches differ in bits, so pairs whose
+sketches differ too much are left out inside the join, and no link is lost by that.
+
 Inside a posting all members are first compared with one pivot. Links found so are contracted to
 components, and only members of different components are compared after that, so a group of copies
 costs a star and not all its pairs.
@@ -33,14 +37,15 @@ from linkweave.llm.support import settle, small_batches, text_slices
 
 @dataclass(frozen=True)
 class NearDedup:
-    """words: of a shingle; numerator of similarity is a percentage. pivots: star rounds before all
-    remaining pairs of a posting between components are compared."""
+    """words: of a shingle; percent: least similarity; cells: bits of the parity sketch, a multiple of
+    64; pivots: star rounds before all remaining pairs of a posting between components are compared."""
 
     words: int = 4
     percent: int = 80
     coordinates: int = 40
     threshold: int = 20
-    pivots: int = 3
+    cells: int = 1024
+    pivots: int = 2
 
     @property
     def prefix(self) -> int:
@@ -70,19 +75,25 @@ def _class_key(shingles: np.ndarray) -> bytes:
     return a.tobytes() + b.tobytes()
 
 
+def _parity(shingles: np.ndarray, cells: int) -> np.ndarray:
+    odd = np.bincount((shingles >> np.uint64(17)).astype(np.int64) % cells, minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, class, signature) of each row; class and signature are null for empty sets."""
+    """(id, n_shingles, class, sig, parity) of each row; the last three are null for empty sets."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mult, add = _families(p.coordinates)
         for batch in batches:
-            sizes, keys, sigs = [], [], []
+            sizes, keys, sigs, odds = [], [], [], []
             for s in _sets(batch.column(1), p.words):
                 sizes.append(len(s))
                 if not len(s):
                     keys.append(None)
                     sigs.append(None)
+                    odds.append(None)
                     continue
                 keys.append(_class_key(s))
                 sig = np.full(p.coordinates, 2**64 - 1, dtype=np.uint64)
@@ -93,13 +104,14 @@ def signatures(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "doc_i
                         part *= np.uint64(0xBF58476D1CE4E5B9)
                         np.minimum(sig, (part >> np.uint64(32)).min(axis=0), out=sig)
                 sigs.append(sig.astype(np.uint32).view(np.int32))
+                odds.append(_parity(s, p.cells))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))],
-                ["id", "n_shingles", "class", "sig"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32())), pa.array(odds, pa.list_(pa.int64()))],
+                ["id", "n_shingles", "class", "sig", "parity"],
             )
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_shingles long, class binary, sig array<int>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_shingles long, class binary, sig array<int>, parity array<long>")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, p: NearDedup, id_col: str, text_col: str) -> DataFrame:
@@ -122,18 +134,15 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, p: NearDedup, id_col: str, te
     return found.mapInArrow(run, "class binary, shingles array<long>").dropDuplicates(["class"])
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDedup, id_col: str, text_col: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, p: NearDedup) -> DataFrame:
     """The pairs (a, b) of classes that collide often enough and whose full sets are similar enough."""
-    c = classes.select("class", "rep", "sig")
+    c = classes.select("class", "sig")
     counted = (
-        pairs.join(c.select(F.col("class").alias("a"), F.col("sig").alias("sa"), F.col("rep").alias("ra")), "a")
-        .join(c.select(F.col("class").alias("b"), F.col("sig").alias("sb"), F.col("rep").alias("rb")), "b")
+        pairs.join(c.select(F.col("class").alias("a"), F.col("sig").alias("sa")), "a")
+        .join(c.select(F.col("class").alias("b"), F.col("sig").alias("sb")), "b")
         .where(F.expr(f"aggregate(zip_with(sa, sb, (x, y) -> IF(x = y, 1, 0)), 0, (n, x) -> n + x) >= {p.threshold}"))
-        .select("a", "b", "ra", "rb")
+        .select("a", "b")
     )
-    counted = settle(counted)
-    wanted = counted.select(F.col("a").alias("class"), F.col("ra").alias("rep")).union(counted.select("b", "rb")).distinct()
-    sets = settle(_full_sets(docs, wanted, p, id_col, text_col))
     both = F.size(F.array_intersect("x", "y"))
     return settle(
         counted.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a")
@@ -166,11 +175,20 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _mixed(postings: DataFrame, root: DataFrame | None) -> DataFrame:
+    """The postings of keys whose classes are in several components; head is the key's pivot, its smallest class."""
+    now = postings.drop("head")
+    if root is not None:
+        now = now.drop("root").join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    ends = now.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("class").alias("head"))
+    return settle(now.join(ends.where("r0 <> r1").drop("r0", "r1"), "key"))
+
+
 def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs (see the module's cases)."""
     rows = settle(signatures(docs, p, id_col, text_col))
     classes = settle(
-        rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
+        rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("parity").alias("parity"))
     )
     posted = classes.select("class", F.posexplode("sig").alias("at", "value")).select("class", F.expr("shiftleft(bigint(at), 32) | (bigint(value) & 4294967295L)").alias("key"))
     counts = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -179,37 +197,40 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "
     lists = shared.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("l"))
     # What no other class has is rarest of all and takes the first places of the prefix.
     prefix = lists.select("class", F.explode(F.expr(f"slice(l, 1, greatest(0, {p.prefix} - ({p.coordinates} - size(l))))")).alias("x")).select("class", F.col("x.key").alias("key"))
-    open_ = settle(prefix)
+    met_by = prefix.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    open_ = settle(prefix.join(met_by, "key").select("key", "class"))
+    wanted = open_.select("class").distinct().join(classes, "class").select("class", "rep")
+    sets = settle(_full_sets(docs, wanted, p, id_col, text_col))
+
+    now = open_.join(classes.select("class", "n", "parity"), "class").withColumn("root", F.col("class"))
 
     links: list[DataFrame] = []
     tried: list[DataFrame] = []
     root = None
     for turn in range(p.pivots + 1):
-        if root is None:
-            now = open_.withColumn("root", F.col("class"))
-        else:
-            now = open_.join(root.withColumnRenamed("node", "class"), "class", "left").select("class", "key", F.coalesce("root", "class").alias("root"))
-        mixed = now.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("class").alias("c0"), F.max("class").alias("c1")).where("r0 <> r1")
-        now = settle(now.join(mixed, "key"))
+        now = _mixed(now, root)
         if now.isEmpty():
             break
+        other = now.select(F.col("key").alias("key2"), F.col("class").alias("b"), F.col("root").alias("r2"), F.col("n").alias("n2"), F.col("parity").alias("p2"), F.col("head").alias("h2"))
+        differ = reduce(lambda x, y: x + y, [F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("p2")[i])) for i in range(p.cells // 64)])
+        near = differ * (100 + p.percent) <= (F.col("n") + F.col("n2")) * (100 - p.percent)
+        met = [F.col("key") == F.col("key2"), F.col("root") != F.col("r2"), near]
         if turn < p.pivots:
-            pivot = F.col("c0") if turn % 2 == 0 else F.col("c1")
-            heads = now.where(F.col("class") == pivot).select("key", F.col("class").alias("p"), F.col("root").alias("pr"))
-            met = now.join(heads, "key").where("root <> pr").select(F.least("class", "p").alias("a"), F.greatest("class", "p").alias("b"))
-            open_ = now.where(F.col("class") != pivot).select("class", "key")
+            pairs = now.join(other.where("b = h2"), met)
+            left = now.where("class <> head")
         else:
-            other = now.select("key", F.col("class").alias("b"), F.col("root").alias("r2"))
-            met = now.join(other, "key").where("class < b AND root <> r2").select(F.col("class").alias("a"), "b")
-        met = met.distinct()
+            pairs = now.join(other, [*met, F.col("class") < F.col("b")])
+            left = now.limit(0)
+        pairs = pairs.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
         if tried:
-            met = met.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti")
-        met = settle(met)
-        tried.append(met)
-        got = _confirmed(met, classes, docs, p, id_col, text_col)
+            pairs = pairs.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti")
+        pairs = settle(pairs)
+        tried.append(pairs)
+        got = _confirmed(pairs, classes, sets, p)
         if not got.isEmpty():
             links.append(got)
             root = settle(components(reduce(DataFrame.union, links)))
+        now = left
 
     named = classes.select("class", "rep")
     if root is not None:
