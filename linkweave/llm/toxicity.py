@@ -164,8 +164,8 @@ def label_model(fires: np.ndarray, known: np.ndarray, rounds: int) -> tuple[np.n
         prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
         rate1 = (x.T @ post + 0.5) / (post.sum() + 1)
         rate0 = (x.T @ (1 - post) + 0.5) / ((1 - post).sum() + 1)
-        right1 = np.clip((post @ known + 1) / (post.sum() + 2), 0.6, 0.999)
-        right0 = np.clip(((1 - post) @ (1 - known) + 1) / ((1 - post).sum() + 2), 0.6, 0.999)
+        right1 = np.clip((post @ known + 1) / (post.sum() + 2), 0.6, 0.97)
+        right0 = np.clip(((1 - post) @ (1 - known) + 1) / ((1 - post).sum() + 2), 0.6, 0.97)
         odds = np.log(prior / (1 - prior)) + np.where(known > 0.5, np.log(right1 / (1 - right0)), np.log((1 - right1) / right0))
         on = np.log(rate1 / rate0)
         off = np.log((1 - rate1) / (1 - rate0))
