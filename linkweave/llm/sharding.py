@@ -30,13 +30,13 @@ from linkweave.llm.support import settle
 @dataclass(frozen=True)
 class Sharding:
     """overhead: bytes of a record besides its text; whole: part of a shard's mean that a group may have
-    and still stay together; slack: part of the mean by which a rebalance lets shards differ from it."""
+    and still stay together; slack: part of the mean by which a rebalance lets a shard stay above it."""
 
     shards: int = 40
     slots: int = 4096
     overhead: int = 16
     whole: float = 0.5
-    slack: float = 0.02
+    slack: float = 0.0
 
 
 def records(docs: DataFrame, p: Sharding = Sharding(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
