@@ -196,7 +196,10 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "
     # A class has at most one posting for each coordinate, so these lists are short.
     lists = shared.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("l"))
     # What no other class has is rarest of all and takes the first places of the prefix.
-    prefix = lists.select("class", F.explode(F.expr(f"slice(l, 1, greatest(0, {p.prefix} - ({p.coordinates} - size(l))))")).alias("x")).select("class", F.col("x.key").alias("key"))
+    firsts = settle(
+        lists.select("class", F.expr(f"transform(slice(l, 1, greatest(0, {p.prefix} - ({p.coordinates} - size(l)))), x -> x.key)").alias("keys"))
+    )
+    prefix = firsts.select("class", F.explode("keys").alias("key"))
     met_by = prefix.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     open_ = settle(prefix.join(met_by, "key").select("key", "class"))
     wanted = open_.select("class").distinct().join(classes, "class").select("class", "rep")
@@ -219,7 +222,11 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "
             pairs = now.join(other.where("b = h2"), met)
             left = now.where("class <> head")
         else:
-            pairs = now.join(other, [*met, F.col("class") < F.col("b")])
+            # A pair is taken under its least common key alone. If that key's pivot was one of the pair, it has
+            # been compared there before and is not under the key any more.
+            own = now.join(firsts, "class")
+            theirs = other.join(firsts.select(F.col("class").alias("b"), F.col("keys").alias("k2")), "b")
+            pairs = own.join(theirs, [*met, F.col("class") < F.col("b"), F.array_min(F.array_intersect("keys", "k2")) == F.col("key")])
             left = now.limit(0)
         pairs = pairs.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
         if tried:
