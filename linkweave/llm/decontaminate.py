@@ -251,13 +251,14 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam
     Other columns stay; clean rows are unchanged, nulls included.
     """
     hit = "__hit_words"
-    found = occurrences(docs.withColumn("__text", F.col("text")), benchmark, p, "__text").withColumnRenamed("hit", hit) if not {"hit", "items", "n_words"} & {c.lower() for c in docs.columns} else None
-    if found is None:
-        moved = {c: f"__own_{i}" for i, c in enumerate(docs.columns) if c.lower() in ("hit", "items", "n_words")}
+    taken = [c for c in docs.columns if c.lower() in ("hit", "items", "n_words")]
+    if taken:
+        moved = {c: f"__own_{c}" for c in taken}
         back = {v: k for k, v in moved.items()}
         return decontaminated(docs.withColumnsRenamed(moved), benchmark, p).withColumnsRenamed(back).select(docs.columns)
+    found = occurrences(docs, benchmark, p).withColumnRenamed("hit", hit)
     kept = found.where(F.size(hit) * 100 < F.greatest(F.col("n_words"), F.lit(1)) * p.drop_percent)
-    clean = kept.drop("n_words", "items", "__text")
+    clean = kept.drop("n_words", "items")
 
     def run(batches):
         for batch in batches:

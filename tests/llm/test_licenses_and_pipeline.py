@@ -57,15 +57,15 @@ def test_awkward_rows(spark):
 def test_stages_take_effect(spark):
     base = prose(7, 100)
     passage = " ".join(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").limit(1).collect())
-    rows = [(1, base), (2, near(base, 40)), (3, base), (3, base), (4, f"{prose(8, 200)}\n{passage}\ntail"), (5, f'{prose(9, 60)} token = "0a1b2c3d4e5f0a1b2c3d4e5f"'), (6, None), (7, "")]
+    rows = [(1, base), (2, near(base, 40)), (3, base), (3, base), (4, f"{prose(8, 200)}\n{passage}\ntail"), (5, f'{prose(9, 60)} token = "0a1b2c3d4e5f0a1b2c3d4e5f"'), (6, None), (7, ""), (8, "repeated b " + base[:90]), (8, "repeated a " + prose(10, 30))]
     docs = documents(spark, rows)
     stages = dict(corpus_pipeline.STAGES)
     deduped = stages["MinHash near-dedup"](spark, docs, SF)
-    assert deduped.columns == docs.columns and sorted(r.doc_id for r in deduped.collect()) == [1, 4, 5, 6, 7]
+    assert deduped.columns == docs.columns and sorted(r.doc_id for r in deduped.collect()) == [1, 4, 5, 6, 7, 8]
     clean = stages["benchmark decontamination"](spark, deduped, SF)
     kept = {r.doc_id: r for r in clean.collect()}
     assert clean.columns == docs.columns and passage not in kept[4].text and kept[4].text.endswith("tail") and kept[4].n_chars == len(kept[4].text)
-    assert kept[1].text == base
+    assert kept[1].text == base and kept[8].text.startswith("repeated a")
     safe = {r.doc_id: r for r in stages["secret scans"](spark, clean, SF).collect()}
     assert "0a1b2c" not in safe[5].text and safe[6].text is None and safe[6].n_chars is None
     encoded = stages["SentencePiece encoding and decoding"](spark, clean, SF).collect()
