@@ -215,6 +215,25 @@ named AS (SELECT a.x AS x, b.x AS y FROM near a JOIN near b ON substr(a.x, 1, 1)
 
 _SORTED = "array_to_string(list_sort(string_split({c}, ' ')), ' ')"
 
+
+def _cheap() -> str:
+    """Token-set scores of cores and addresses of the candidates, and the filter on them."""
+    split = lambda c: f"list_filter(string_split({c}, ' '), lambda v: v <> '')"
+    x, y = split("x"), split("y")
+    score = """CASE WHEN strs.x = '' OR strs.y = '' THEN 0.0 WHEN len(b) > 0 AND (len(lo) = 0 OR len(ro) = 0) THEN 1.0
+      ELSE greatest(2.0 * p.l / (length(ls) + length(rs)), CASE WHEN len(b) > 0 THEN greatest(2.0 * q.l / (length(bs) + length(ls)), 2.0 * r.l / (length(bs) + length(rs))) ELSE 0.0 END) END"""
+    return f""",
+duo AS (SELECT q, t, x.a AS xa, y.a AS ya, {_text('x.nt')} AS xn, {_text('y.nt')} AS yn FROM cand JOIN prep x ON x.entity_id = q JOIN prep y ON y.entity_id = t),
+named AS (SELECT xa AS x, ya AS y FROM duo UNION SELECT xn, yn FROM duo),
+sets AS (SELECT x, y, list_sort(list_distinct(list_intersect({x}, {y}))) AS b,
+  list_sort(list_distinct(list_filter({x}, lambda v: NOT list_contains({y}, v)))) AS lo, list_sort(list_distinct(list_filter({y}, lambda v: NOT list_contains({x}, v)))) AS ro FROM named),
+strs AS (SELECT *, {_text('b')} AS bs, {_text('b || lo')} AS ls, {_text('b || ro')} AS rs FROM sets),
+todo AS (SELECT ls AS x, rs AS y FROM strs UNION SELECT bs, ls FROM strs UNION SELECT bs, rs FROM strs){_lcs('todo')},
+sc AS (SELECT strs.x, strs.y, {score} AS s FROM strs JOIN lcs_of p ON p.x = ls AND p.y = rs JOIN lcs_of q ON q.x = bs AND q.y = ls JOIN lcs_of r ON r.x = bs AND r.y = rs)
+SELECT q, t, round(n.s, 6) AS ns, round(a.s, 6) AS ads, n.s >= 0.9 - 1e-7 OR a.s >= 0.85 - 1e-7 OR (n.s >= 0.35 - 1e-7 AND a.s >= 0.5 - 1e-7) OR ((xa = '' OR ya = '') AND n.s >= 0.5 - 1e-7) AS kept
+FROM duo JOIN sc n ON n.x = xn AND n.y = yn JOIN sc a ON a.x = xa AND a.y = ya"""
+
+
 THRESHOLDS = [i / 40 for i in range(4, 39)]
 GATED = "((CAST(split_part(q, '-', 2) AS BIGINT)) % 2 = 0)"
 
@@ -250,6 +269,7 @@ strs AS (SELECT *, array_to_string(b, ' ') AS bs, array_to_string(b || l, ' ') A
 todo AS (SELECT ls AS x, rs AS y FROM strs UNION SELECT bs, ls FROM strs UNION SELECT bs, rs FROM strs)""" + _lcs("todo") + """
 SELECT x0 AS x, y0 AS y, round(CASE WHEN len(b) > 0 AND (len(strs.l) = 0 OR len(strs.r) = 0) THEN 1.0 ELSE greatest(2.0 * p.l / (length(ls) + length(rs)), CASE WHEN len(b) > 0 THEN greatest(2.0 * q.l / (length(bs) + length(ls)), 2.0 * s.l / (length(bs) + length(rs))) ELSE 0 END) END, 9) AS ratio
 FROM strs JOIN lcs_of p ON p.x = ls AND p.y = rs JOIN lcs_of q ON q.x = bs AND q.y = ls JOIN lcs_of s ON s.x = bs AND s.y = rs""",
+    "cheap_filter": prelude("documents") + _candidates(100, 240) + _cheap(),
     "truth_lists": f"WITH {TRUTH} SELECT q, string_agg(DISTINCT t, ',' ORDER BY t) AS matches FROM truth GROUP BY q",
     "label_join": prelude("documents") + _candidates(100, 240) + f", {TRUTH} SELECT q, t, (q, t) IN (SELECT q, t FROM truth) AS label FROM cand",
     "score_entities": _WITH_PRED + " SELECT q, n_truth, n_pred, good, round(score, 9) AS score FROM (" + _each("s.p >= 0.65") + ")",
