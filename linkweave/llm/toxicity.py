@@ -220,13 +220,11 @@ def fit(docs: DataFrame, labels: DataFrame, p: Toxicity) -> Model:
         .collect()
     )
     only = np.sort(np.unique(np.concatenate((np.array([r["code"] for r in mined], dtype=np.int64).view(np.uint64), _codes(_lexicon_hashes(), np.full(len(LEXICON), 10), p.counts)))))
-    got = _firing(train.select("y", "text"), p, only).collect()
-    y = np.array([r["y"] for r in got], dtype=np.float64)
-    at = np.concatenate([np.full(len(r["codes"]), i) for i, r in enumerate(got)]) if got else np.zeros(0, np.int64)
-    code = np.concatenate([np.array(r["codes"], dtype=np.int64) for r in got])
-    pos = np.bincount(code[y[at] > 0], minlength=len(only))
-    neg = np.bincount(code[y[at] < 1], minlength=len(only))
-    n1, n0 = y.sum(), (1 - y).sum()
+    pos, neg = np.zeros(len(only)), np.zeros(len(only))
+    counted = _firing(train.select("y", "text"), p, only).select("y", F.explode("codes").alias("code")).groupBy("code").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
+    for r in counted.collect():
+        pos[r["code"]], neg[r["code"]] = r["pos"], r["n"] - r["pos"]
+    n1, n0 = float(toxic), float(rows - toxic)
     # Strength of evidence: how far the rates are apart, in standard errors of a smoothed difference.
     r1, r0 = (pos + 0.5) / (n1 + 1), (neg + 0.5) / (n0 + 1)
     mean = (pos + neg + 1) / (n1 + n0 + 2)
@@ -235,11 +233,12 @@ def fit(docs: DataFrame, labels: DataFrame, p: Toxicity) -> Model:
     z[lexicon] += 1e6
     best = np.argsort(-z, kind="stable")[: p.mined]
     best = np.sort(best[z[best] > 3])
-    column = np.full(len(only), -1)
-    column[best] = np.arange(len(best))
+    # Only the chosen voters' firings come to the driver, at most ``mined`` for each sampled row.
+    got = _firing(train.select("y", "text"), p, only[best]).collect()
+    y = np.array([r["y"] for r in got], dtype=np.float64)
     fires = np.zeros((len(y), len(best)), dtype=bool)
-    use = column[code] >= 0
-    fires[at[use], column[code[use]]] = True
+    for i, r in enumerate(got):
+        fires[i, r["codes"]] = True
     post, share = label_model(fires, y, p.rounds)
     weight, intercept = linear(fires.astype(np.float64), post, p.strength)
     # Codes name a pattern and a threshold; the patterns themselves come from the training rows.
