@@ -45,7 +45,7 @@ class NearDedup:
     coordinates: int = 40
     threshold: int = 20
     cells: int = 1024
-    pivots: int = 2
+    pivots: int = 1
 
     @property
     def prefix(self) -> int:
@@ -168,7 +168,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = down.join(low, "a")
         new = settle(small.select("b", "m").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct())
         # At the end every node but a root has one edge, and to a root.
-        done = new.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).union(new.join(new.select(F.col("a").alias("b"), F.lit(1).alias("n")), "b", "left_semi").select("a", F.lit(2).cast("long")).limit(1))
+        ends = new.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(new.select("b", F.lit(0), F.lit(1)))
+        done = ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").limit(1)
         e = new
         if done.isEmpty():
             break
@@ -176,11 +177,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _mixed(postings: DataFrame, root: DataFrame | None) -> DataFrame:
-    """The postings of keys whose classes are in several components; head is the key's pivot, its smallest class."""
+    """The postings of keys whose classes are in several components.
+
+    head is the key's pivot: the class that shares most coordinates with others, as an original does with
+    its changed copies, and of several the greatest.
+    """
     now = postings.drop("head")
     if root is not None:
         now = now.drop("root").join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    ends = now.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("class").alias("head"))
+    ends = now.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.struct("shared", "class")).alias("head"))
+    ends = ends.withColumn("head", F.col("head.class"))
     return settle(now.join(ends.where("r0 <> r1").drop("r0", "r1"), "key"))
 
 
@@ -197,11 +203,11 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "
     lists = shared.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("l"))
     # What no other class has is rarest of all and takes the first places of the prefix.
     firsts = settle(
-        lists.select("class", F.expr(f"transform(slice(l, 1, greatest(0, {p.prefix} - ({p.coordinates} - size(l)))), x -> x.key)").alias("keys"))
+        lists.select("class", F.size("l").alias("shared"), F.expr(f"transform(slice(l, 1, greatest(0, {p.prefix} - ({p.coordinates} - size(l)))), x -> x.key)").alias("keys"))
     )
-    prefix = firsts.select("class", F.explode("keys").alias("key"))
+    prefix = firsts.select("class", "shared", F.explode("keys").alias("key"))
     met_by = prefix.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    open_ = settle(prefix.join(met_by, "key").select("key", "class"))
+    open_ = settle(prefix.join(met_by, "key").select("key", "class", "shared"))
     wanted = open_.select("class").distinct().join(classes, "class").select("class", "rep")
     sets = settle(_full_sets(docs, wanted, p, id_col, text_col))
 
@@ -224,7 +230,7 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "
         else:
             # A pair is taken under its least common key alone. If that key's pivot was one of the pair, it has
             # been compared there before and is not under the key any more.
-            own = now.join(firsts, "class")
+            own = now.join(firsts.select("class", "keys"), "class")
             theirs = other.join(firsts.select(F.col("class").alias("b"), F.col("keys").alias("k2")), "b")
             pairs = own.join(theirs, [*met, F.col("class") < F.col("b"), F.array_min(F.array_intersect("keys", "k2")) == F.col("key")])
             left = now.limit(0)
