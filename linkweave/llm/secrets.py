@@ -9,6 +9,8 @@ and digits, close behind a sensitive word. Its marginal size is what it adds to
 around it, when the compressor is primed with identifiers and with that text's own words. Tokens made
 of known identifiers or of the surrounding prose cost few bytes; a key costs about its entropy. A
 candidate that costs at least ``bytes_per_char`` a character is reported unless it overlaps a base span.
+Where even a random string of its length and alphabet costs less than that, as long ones and those of few
+characters do, ``of_random`` of that string's cost is enough.
 
 Defined cases: null and empty texts have no spans; whole texts are scanned, however long; rows that
 repeat are each returned; spans of equal start are in the order of KINDS.
@@ -17,8 +19,11 @@ repeat are each returned; spans of equal start are in the order of KINDS.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -35,6 +40,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _SENSITIVE = re.compile(r"(?:passw|secret|token|api[_-]?key|credential|private[_-]?key|access[_-]?key|client[_-]?id|auth|bearer|signature)", re.IGNORECASE | re.ASCII)
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}", re.ASCII)
+#: Characters that a key's writing uses together.
+_ALPHABETS = tuple((re.compile(f"[{some}]", re.ASCII), every) for some, every in (("g-z", "abcdefghijklmnopqrstuvwxyz"), ("a-f", "abcdef"), ("G-Z", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("A-F", "ABCDEF"), ("0-9", "0123456789"), ("+", "+"), ("/", "/"), ("_", "_"), ("-", "-")))
 
 #: Words one of which an assign match, or a candidate's context, holds in lower case; and hex digits as "h".
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
@@ -68,11 +75,13 @@ IDENTIFIERS = (
 @dataclass(frozen=True)
 class SecretScan:
     """reach: characters between a sensitive word's end and a candidate; around: characters of context
-    on either side; bytes_per_char: marginal compressed bytes a character that make a key."""
+    on either side; bytes_per_char: marginal compressed bytes a character that make a key; of_random:
+    share of a random string's cost that makes one too."""
 
     reach: int = 48
     around: int = 512
     bytes_per_char: float = 0.8
+    of_random: float = 0.9
 
 
 def _any_in(words: tuple[str, ...], text: str) -> bool:
@@ -92,6 +101,22 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+@lru_cache(maxsize=65536)
+def _random_cost(alphabet: str, length: int) -> float:
+    """Compressed bytes a character of a random string, by the same means as a candidate's."""
+    return _marginal(_press(IDENTIFIERS), "".join(random.Random(length).choices(alphabet, k=length)))
+
+
+def _press(primer: bytes) -> zstandard.ZstdCompressor:
+    primed = zstandard.ZstdCompressionDict(primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False)
+
+
+def _marginal(press: zstandard.ZstdCompressor, token: str) -> float:
+    own = token.lower().encode("utf-8")
+    return (len(press.compress(own)) - len(press.compress(b""))) / len(own)
+
+
 class Novelty:
     """Marginal compressed size of a candidate, given its surroundings."""
 
@@ -101,25 +126,28 @@ class Novelty:
     def cost(self, text: str, start: int, end: int) -> float:
         before = text[max(0, start - self.p.around) : start].encode("utf-8")
         after = text[end : end + self.p.around].encode("utf-8")
-        primed = zstandard.ZstdCompressionDict(IDENTIFIERS + before.lower() + after + before, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        press = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False)
-        own = text[start:end].lower().encode("utf-8")
-        return (len(press.compress(own)) - len(press.compress(b""))) / len(own)
+        return _marginal(_press(IDENTIFIERS + before.lower() + after + before), text[start:end])
+
+    def least(self, token: str) -> float:
+        """The cost a character from which a token is a key; it hardly changes beyond some length."""
+        alphabet = "".join(dict.fromkeys("".join(every for some, every in _ALPHABETS if some.search(token))))
+        return min(self.p.bytes_per_char, self.p.of_random * _random_cost(alphabet, min(len(token), 16384)))
 
     def spans(self, text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
         out: list[tuple[int, int, str]] = []
         if not _any_in(_SENSITIVE_WORDS, text.lower()):
             return out
+        ends = [word.end() for word in _SENSITIVE.finditer(text)]
+        if not ends:
+            return out
         busy = sorted((a, b) for a, b, _ in taken)
-        upto = -1
-        for word in _SENSITIVE.finditer(text):
-            limit = word.end() + self.p.reach
-            for m in _CANDIDATE.finditer(text, max(word.end(), upto), min(len(text), limit + 4096)):
-                if m.start() > limit:
-                    break
-                upto = m.end()
-                if not any(a < m.end() and m.start() < b for a, b in busy) and self.cost(text, *m.span()) >= self.p.bytes_per_char:
-                    out.append((m.start(), m.end(), "novel"))
+        for m in _CANDIDATE.finditer(text, ends[0]):
+            # The last word that ends before the token.
+            at = bisect_right(ends, m.start()) - 1
+            if at < 0 or m.start() - ends[at] > self.p.reach:
+                continue
+            if not any(a < m.end() and m.start() < b for a, b in busy) and self.cost(text, *m.span()) >= self.least(m.group()):
+                out.append((m.start(), m.end(), "novel"))
         return out
 
 

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from fixtures import ROWS, documents
 
@@ -60,3 +62,15 @@ def test_redaction_keeps_other_columns(spark):
     docs = documents(spark)
     out = redacted(docs)
     assert out.columns == docs.columns and out.where("text IS NULL").count() == 1 and out.count() == len(ROWS)
+
+
+def test_keys_of_every_length_and_alphabet():
+    novelty = Novelty(SecretScan())
+    base64 = string.ascii_letters + string.digits + "+/"
+    for alphabet in (base64, base64[:62], "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEF", "0123456789abcdef"):
+        for length in (24, 64, 128, 256, 1600, 4500, 10_000, 100_000):
+            key = ("a1" if "a" in alphabet else "A2") + "".join(random.Random(length).choices(alphabet, k=length - 2))
+            text = f'the river moved slowly past the old mill\nauth: "{key}" and people walked home'
+            assert [text[a:b] for a, b, _ in novelty.spans(text, [])] == [key], (alphabet, length)
+    words = "".join(random.Random(1).choices("River Moved Slowly Bridge Meadow Harvest Garden Cloud Summer Winter Yellow Orange".split(), k=60)) + "2"
+    assert novelty.spans(f"auth: {words}", []) == []
