@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.llm import decontaminate, near_dedup, quality, secrets, unigram
-from linkweave.llm.support import settle, shared_folder, table
+from linkweave.llm.support import shared_folder, table
 
 #: Near duplicates in the pipeline share five-word shingles to 80 % or more.
 NEAR = near_dedup.NearDedup(words=5, percent=80)
@@ -31,21 +31,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the smallest id; empty texts are no group.
+    """One row of each near-duplicate group stays, of the smallest id; empty texts are no group and all stay.
 
-    Of rows that repeat an id the one with the smallest text stays. Rows without an id can't be told
-    apart by it: all stay if any of them does.
+    Ids need not be unique: different texts under one id are different documents.
     """
-    found = near_dedup.near_duplicates(docs, NEAR).where("kept").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__n"))
-    kept = settle(found)
-    mine = F.col("doc_id").eqNullSafe(F.col("__kept"))
-    repeated = kept.where("__n > 1 AND __kept IS NOT NULL")
-    out = docs.join(kept.where("__n = 1 OR __kept IS NULL"), mine, "left_semi")
-    if repeated.isEmpty():
-        return out
-    # An aggregate, as one id may be a large part of all rows.
-    one = docs.join(repeated, mine, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text")).alias("__row"))
-    return out.unionByName(one.select("__row.*"))
+    return near_dedup.deduplicated(docs, NEAR)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,9 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkweave.llm import hashing
-from linkweave.llm.support import settle, small_batches, text_slices
+from linkweave.llm.support import append_columns, settle, small_batches, text_slices
 
 
 @dataclass(frozen=True)
@@ -190,8 +191,8 @@ def _mixed(postings: DataFrame, root: DataFrame | None) -> DataFrame:
     return settle(now.join(ends.where("r0 <> r1").drop("r0", "r1"), "key"))
 
 
-def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row of docs (see the module's cases)."""
+def _linked(docs: DataFrame, p: NearDedup, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The signatures of docs, and (class, own, root, rep): each class's smallest id, its component and that one's smallest id."""
     rows = settle(signatures(docs, p, id_col, text_col))
     classes = settle(
         rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("parity").alias("parity"))
@@ -245,13 +246,19 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "
             root = settle(components(reduce(DataFrame.union, links)))
         now = left
 
-    named = classes.select("class", "rep")
+    named = classes.select("class", F.col("rep").alias("own"), F.col("class").alias("root"), "rep")
     if root is not None:
-        in_one = named.join(root.withColumnRenamed("node", "class"), "class")
-        least = in_one.groupBy("root").agg(F.min("rep").alias("least"))
-        moved = in_one.join(least, "root").select("class", F.col("least"))
-        named = named.join(moved, "class", "left").select("class", F.coalesce("least", "rep").alias("rep"))
-    out = rows.select("id", "n_shingles", "class").join(named, "class", "left")
+        in_one = named.select("class", "own").join(root.withColumnRenamed("node", "class"), "class")
+        least = in_one.groupBy("root").agg(F.min("own").alias("least"))
+        moved = in_one.join(least, "root").select("class", F.col("root").alias("to"), "least")
+        named = named.join(moved, "class", "left").select("class", "own", F.coalesce("to", "root").alias("root"), F.coalesce("least", "rep").alias("rep"))
+    return rows, named
+
+
+def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row of docs (see the module's cases)."""
+    rows, named = _linked(docs, p, id_col, text_col)
+    out = rows.select("id", "n_shingles", "class").join(named.select("class", "rep"), "class", "left")
     component = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("rep"))
     return out.select(
         F.col("id").alias("doc_id"),
@@ -259,3 +266,32 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "
         component.alias("component_id"),
         F.col("id").eqNullSafe(component).alias("kept"),
     )
+
+
+def deduplicated(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs of each component, and every row whose text has an empty set.
+
+    The row has the component's smallest id; of several classes under that id it is of the smallest key, and
+    of several rows of that class it has the smallest text. Ids need not be unique or known: rows are told
+    apart by id and class.
+    """
+    rows, named = _linked(docs, p, id_col, text_col)
+    chosen = named.where(F.col("own").eqNullSafe(F.col("rep"))).groupBy("root").agg(F.min("class").alias("__one"), F.first("rep").alias("__id")).drop("root")
+    mine = (F.col("__one") == F.col("class")) & F.col("__id").eqNullSafe(F.col("id"))
+    chosen = settle(rows.where("class IS NOT NULL").select("id", "class").join(chosen, mine).groupBy("__one", "__id").agg(F.count("*").alias("__n")))
+
+    def maker():
+        def compute(column: pa.Array) -> list[pa.Array]:
+            return [pa.array([_class_key(s) if len(s) else None for s in _sets(column, p.words)], pa.binary())]
+
+        return compute
+
+    keyed = append_columns(docs, [T.StructField("__class", T.BinaryType())], maker, text_col)
+    mine = (F.col("__one") == F.col("__class")) & F.col("__id").eqNullSafe(F.col(id_col))
+    out = keyed.join(chosen.where("__n = 1"), mine, "left").where("__class IS NULL OR __one IS NOT NULL").select(docs.columns)
+    repeated = chosen.where("__n > 1")
+    if repeated.isEmpty():
+        return out
+    # An aggregate, as one text may be a large part of all rows.
+    one = keyed.join(repeated, mine).groupBy("__one").agg(F.min_by(F.struct(*docs.columns), F.struct(text_col)).alias("__row"))
+    return out.unionByName(one.select("__row.*"))

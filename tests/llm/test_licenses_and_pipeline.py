@@ -86,3 +86,19 @@ def test_run(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {r.doc_id for r in groups(corpus_pipeline.quality_classifier(spark, docs, SF), corpus_pipeline.NEAR).where("kept").collect()}
     assert {r.doc_id for r in out} <= kept and len(out) > 0.9 * len(kept) and all(r.round_trip for r in out)
+
+
+def test_dedup_keeps_one_row_of_each_group_whatever_the_ids(spark):
+    a, b, c, d, e, f = (prose(20 + i, 100) for i in range(6))
+    rows = [
+        (8, a), (8, b), (8, "one two three"),  # different texts of one id
+        (1, c), (9, near(c, 40)), (9, d),  # one of two rows of an id is a copy of another document
+        (None, e), (None, near(e, 60)), (None, e), (None, f), (None, near(a, 30)),  # no ids, some copies
+        (10, ""), (10, None), (None, ""),
+    ]
+    out = corpus_pipeline.near_duplicates(spark, documents(spark, rows), SF)
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    linked = [x for x in got if x[0] is None and x[1] in (e, near(e, 60))]
+    assert len(linked) == 1
+    want = [(8, a), (8, b), (8, "one two three"), (1, c), (9, d), (None, f), (10, ""), (10, None), (None, ""), *linked]
+    assert out.columns == documents(spark, rows).columns and sorted(got, key=str) == sorted(want, key=str)
