@@ -320,7 +320,7 @@ def seed_expansion(spark, sf):
 
 
 def feature_vector_50(spark, sf):
-    df, names = features.base_features(_pairs(spark, sf, "documents", 100, 20))
+    df, names = features.base_features(_pairs(spark, sf))
     return df.select("q", "t", *[_r(F.col(n), 6).alias(n) for n in names])
 
 
@@ -331,7 +331,7 @@ def feature_vector_154(spark, sf):
     none = F.array().cast("array<struct<t:string,w:double>>")
     rows = phonetic.forms(everyone, native_only=True).join(weights("nt", "n"), "entity_id", "left").join(weights("at", "a"), "entity_id", "left").withColumns({c: F.coalesce(c, none) for c in ("wn", "wa")})
     left, right = _sides(rows)
-    pool = blocking.candidates(left, right, _keys(), 50, 20).select("q", "t", "votes")
+    pool = blocking.candidates(left, right, _keys(), 350, 500).select("q", "t", "votes")
     kept = features.cheap_scores(features.pair_records(pool, left, right)).where("kept").drop("ns", "ads", "kept")
     near = blocking.neighbours(left, _keys(), _name_jaccard(left, left), 500, 120, 8)
     df, order = features.base_features(kept)
@@ -348,7 +348,7 @@ def phonetic_candidates(spark, sf):
 
 def gbt_predict(spark, sf):
     """Boosted trees fitted on one part of the references and applied to the pairs of the others."""
-    df, names = features.base_features(_pairs(spark, sf, "documents", 100, 20))
+    df, names = features.base_features(_pairs(spark, sf))
     pairs = cascade.label(df, adapters.truth(spark, sf)).select("q", "t", "label", *names)
     some = _number("q") % 5 != 0
     fitted = model.fit(pairs.where(some), names, trees=10, depth=4)
@@ -357,7 +357,7 @@ def gbt_predict(spark, sf):
 
 def cascade_end_to_end(spark, sf):
     """Result lists of all references: block, filter, features, model, threshold."""
-    df, names = features.base_features(features.cheap_scores(_pairs(spark, sf, "documents", 100, 20)).where("kept").drop("ns", "ads", "kept"))
+    df, names = features.base_features(features.cheap_scores(_pairs(spark, sf)).where("kept").drop("ns", "ads", "kept"))
     pairs = cascade.label(df, adapters.truth(spark, sf)).select("q", "t", "label", *names)
     scored = model.predict(model.fit(pairs, names, trees=10, depth=4), pairs, names)
     refs = adapters.documents(spark, sf).where("source = 'S1'").select(F.col("entity_id").alias("q"))
