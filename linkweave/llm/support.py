@@ -16,13 +16,26 @@ SLICE_BYTES = 2_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary folder."""
+    """The session's ``spark.checkpoint.dir``; where that is unset, a temporary folder of a local session (tests).
+
+    A cluster must name a folder that all executors share.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     own = sc._jsc.sc().getCheckpointDir()
-    return own.get() if own.isDefined() else tempfile.mkdtemp(prefix="linkweave-")
+    if own.isDefined():
+        return own.get()
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="linkweave-")
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def settle(df: DataFrame) -> DataFrame:

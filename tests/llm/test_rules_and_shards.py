@@ -6,7 +6,7 @@ from compare import SF
 from fixtures import ROWS, documents
 
 from linkweave.llm import quality_rules, sharding
-from linkweave.llm.support import table
+from linkweave.llm.support import settle, table
 
 
 def brute(text):
@@ -113,6 +113,7 @@ def test_a_hot_group_is_split(spark):
 def test_rebalance_moves_little_and_keeps_balance(spark):
     rows = [(i, f"text {i} " * 10) for i in range(2000)]
     first = sharding.deal(sharding.slot_totals(sharding.assign_slots(sharding.records(documents(spark, rows))))).cache()
+    assert first.count() == sharding.Sharding().slots
     grown, less = sharding.rebalance(first, 41).collect(), sharding.rebalance(first, 39).collect()
     old = {r.v: r["shard"] for r in first.collect()}
     moved = [r for r in grown if r["shard"] != old[r.v]]
@@ -122,3 +123,42 @@ def test_rebalance_moves_little_and_keeps_balance(spark):
     for r in grown:
         load[r["shard"]] += r["bytes"]
     assert len(load) == 41 and max(load.values()) < 1.1 * min(load.values())
+
+
+def loads(got):
+    sizes = Counter()
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+    return sizes
+
+
+def test_an_older_map_places_all_later_rows(spark, tmp_path):
+    first = [(i, f"text {i} " * 10) for i in range(500)]
+    later = [(1000 + i, f"later {i} " * 10) for i in range(500)] + [(None, None), (1000, "later 0 " * 10)]
+    p = sharding.Sharding(shards=8)
+    _, slot_map = sharding.fitted(settle(sharding.records(documents(spark, first))), p)
+    sharding.write_map(slot_map, f"{tmp_path}/map")
+    sharding.write_map(sharding.rebalance(slot_map, 9, p), f"{tmp_path}/map")
+    assert {r.version for r in sharding.read_map(spark, f"{tmp_path}/map", 1).collect()} == {1}
+    new = sharding.read_map(spark, f"{tmp_path}/map")
+    assert {r.version for r in new.collect()} == {2} and new.count() == p.slots
+    rows = settle(sharding.assign_slots(settle(sharding.records(documents(spark, later))), p))
+    got = sharding.placed(rows, new).collect()
+    assert len(got) == len(later)
+    places = {s: sorted(r.slot for r in got if r["shard"] == s) for s in {r["shard"] for r in got}}
+    assert set(places) <= set(range(9)) and all(v == list(range(len(v))) for v in places.values())
+
+
+def test_repeated_rows_and_missing_ids_balance(spark):
+    for same in (7, None):
+        rows = [(same, "same text " * 20)] * 5000 + [(1000 + i, f"other {i} " * 20) for i in range(5000)]
+        got = sharding.shard(documents(spark, rows)).collect()
+        check_shards(rows, got)
+        sizes = loads(got)
+        assert len(sizes) == 40 and max(sizes.values()) - min(sizes.values()) <= 0.05 * sum(sizes.values()) / 40
+
+
+def test_groups_just_under_half_a_shard_balance(spark):
+    rows = [(k * 1000 + i, f"group {k} " * 20) for k in range(81) for i in range(60)] + [(10**6 + i, f"x{i}") for i in range(50)]
+    sizes = loads(sharding.shard(documents(spark, rows)).collect())
+    assert len(sizes) == 40 and max(sizes.values()) - min(sizes.values()) <= 0.1 * sum(sizes.values()) / 40
