@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter
 
 import corpus_pipeline
@@ -9,29 +10,101 @@ from linkweave.llm import licenses
 from linkweave.llm.near_dedup import near_duplicates as groups
 
 
-def slow_best(text, limit):
-    """Cosine of a text to every template without anchors or sparse lists."""
-    bags = [Counter(licenses._WORD.findall(t.lower())) for _, t in licenses.TEMPLATES]
+def slow_scan(text, p=licenses.LicenceScan()):
+    """A text's licence, cosine, line, opening and share: every line, window and template, without anchors or sparse lists."""
+    lists = [licenses.words_of(t) for _, _, t in licenses.TEMPLATES]
+    bags = [Counter(w for w in words if w not in licenses.STOP) for words in lists]
     df = Counter(w for b in bags for w in b)
     idf = lambda w: math.log((1 + len(bags)) / (1 + df[w])) + 1
-    own = Counter(licenses._WORD.findall(text.lower()))
-    found = (None, 0.0)
-    for (name, _), bag in zip(licenses.TEMPLATES, bags, strict=True):
-        dot = sum(own[w] * bag[w] * idf(w) ** 2 for w in own)
-        norm = math.sqrt(sum((k * idf(w)) ** 2 for w, k in own.items()) * sum((k * idf(w)) ** 2 for w, k in bag.items()))
-        score = round(dot / norm, 9) if norm else 0
-        if score >= limit and (score > found[1] or (score == found[1] and name < found[0])):
-            found = (name, score)
-    return found
-
-
-LINES = ["Licensed under the Apache License, Version 2.0.", "licensed under apache", "All rights reserved", "# SPDX-License-Identifier: MIT", "we released the mit thing under a tree", "", "rights of way"]
-
-
-def test_anchored_lines_equal_all_pairs():
-    m = licenses.Matcher(licenses.LicenceScan(file_words=0))
-    for line in LINES + [t for _, t in licenses.TEMPLATES]:
-        assert m.scan(line)[:2] == slow_best(line, 0.7)
+    length = lambda bag: math.sqrt(sum((k * idf(w)) ** 2 for w, k in bag.items()))
+    words, line_of = [], []
+    for number, line in enumerate(text.split("\n")):
+        found = licenses.words_of(line)
+        words += found
+        line_of += [number] * len(found)
+    n = len(words)
+    tried = {(line_of.index(x), line_of.index(x) + line_of.count(x), None) for x in line_of} | {(0, n, None)}
+    for size in {len(x) for x in lists}:
+        tried |= {(k, min(k + size, n), size) for k in range(0, n, max(1, size // 4))}
+    top, inside = None, set()
+    for first, end, size in tried:
+        own = Counter(w for w in words[first:end] if w not in licenses.STOP)
+        for (name, kind, _), bag, words_there in zip(licenses.TEMPLATES, bags, lists, strict=True):
+            if not own or (size is not None and len(words_there) != size):
+                continue
+            score = round(sum(own[w] * bag[w] * idf(w) ** 2 for w in own) / length(own) / length(bag), 9)
+            if score >= p.limit and len(own.keys() & bag.keys()) >= min(p.shared, len(bag)):
+                inside |= set(range(first, end))
+                key = (-round(score**3 * length(bag), 9), name, first, -end)
+                if top is None or key < top[0]:
+                    top = (key, (name, score, line_of[first], kind == "text" and first < p.head))
+    return (*top[1], len(inside) / n) if top else (None, 0.0, -1, False, 0.0)
+
+
+TEXTS = [
+    "Licensed under the Apache License, Version 2.0.", "licensed under apache", "All rights reserved", "# SPDX-License-Identifier: MIT", "we released the mit thing under a tree", "", "rights of way",
+    "er kam mit dem Zug und ging mit der Bahn", "x\n * Licensed under the Apache\n * License, Version 2.0\n y", "Some words " * 30 + "this file is released under the MIT license as you know " + "more words " * 40,
+    "Copyright 2020 A. All rights reserved.\nLicensed under the Apache License, Version 2.0", "\u212aelvin all rights reserved \u0130",
+    *[text for _, _, text in licenses.TEMPLATES], "intro words here\n" + licenses.TEMPLATES[7][2].replace(". ", ".\n") + "\n" + "def f(): return 1\n" * 300,
+]
+
+
+def close(a, b):
+    """Sums in another order may differ in the last digit that is kept."""
+    return a[0] == b[0] and a[2:4] == b[2:4] and abs(a[1] - b[1]) < 1e-8 and abs(a[4] - b[4]) < 1e-12
+
+
+def test_scan_equals_all_candidates_and_templates():
+    m = licenses.Matcher(licenses.LicenceScan())
+    for text in TEXTS + [t for _, t in ROWS if t and len(t) < 1200]:
+        f = m.scan(text.encode())
+        assert close((f.name, f.score, f.line, f.opens, f.share), slow_scan(text)), text
+
+
+def test_templates_are_their_own_licence_and_prose_has_none():
+    m = licenses.Matcher(licenses.LicenceScan())
+    for name, _, text in licenses.TEMPLATES:
+        assert m.scan(text.encode()).name == name and m.scan(text.replace(" ", "\n * ").encode()).name == name
+    assert m.scan(("er kam mit dem Zug und ging " * 50).encode()).name is None
+
+
+def slow_files(rows):
+    """Every file's licence, the directory it is from and how far up, by walking up from each."""
+    own = [(path, *slow_scan(text or "")) for path, text in rows]
+    declared = {}
+    for path, name, score, _, opens, share in own:
+        if path is not None and name and (share >= 0.5 or opens or re.match(licenses.FILE_NAMES, path.rsplit("/", 1)[-1])):
+            folder = path.rsplit("/", 1)[0] if "/" in path else ""
+            declared[folder] = min(declared.get(folder, (0.0, "~", "~")), (-score, name, path))
+    out = []
+    for path, name, *_ in own:
+        found = (name, None, None)
+        if name is None and path is not None:
+            folder = path.rsplit("/", 1)[0] if "/" in path else ""
+            for up in range(folder.count("/") + 1 + (folder != "")):
+                at = folder if not up else "/".join(folder.split("/")[:-up])
+                if at in declared:
+                    found = (declared[at][1], at, up)
+                    break
+        out.append((path, *found))
+    return out
+
+
+def test_whole_query_equals_walking_up(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 1200")
+    more = documents(spark, [(i, t) for i, t in ROWS if t is None or len(t) < 1200] + [(7027, TEXTS[-1]), (7120, "All rights reserved"), (7130, "nothing")]).select(docs.columns)
+    files = licenses.with_paths(docs.union(more))
+    got = sorted(((r.path, r.licence, r.licence_from, r.depth_up) for r in licenses.scan(files).collect()), key=str)
+    assert got == sorted(slow_files([(r.path, r.text) for r in files.collect()]), key=str)
+    assert any(x[3] for x in got) and any(x[3] == 0 for x in got)
+
+
+def test_clashing_names_and_deep_paths(spark):
+    deep = "/".join(f"d{i}" for i in range(60))
+    rows = [("top/LICENSE", "Released under the MIT License", "x", "own"), ("top/" + deep + "/f.py", "code", "y", "own")]
+    got = licenses.scan(spark.createDataFrame(rows, "path string, text string, x string, licence string"))
+    assert sorted(got.columns) == sorted(["path", "x", "own_licence", "own_score", "own_line", "own_opens", "own_share", "licence", "licence_from", "depth_up"])
+    assert {(r.x, r.licence, r.depth_up) for r in got.collect()} == {("x", "MIT", None), ("y", "MIT", 60)}
 
 
 def test_inheritance(spark):
