@@ -12,7 +12,11 @@ sketches differ too much are left out inside the join, and no link is lost by th
 
 Inside a posting all members are first compared with one pivot. Links found so are contracted to
 components, and only members of different components are compared after that, so a group of copies
-costs a star and not all its pairs.
+costs a star and not all its pairs. A large posting is then cut into blocks, and each two blocks meet
+under a key of their own, so no task holds a whole posting.
+
+Rows are told apart by id and two hashes of the text, so ids may be missing or repeat: full sets are read
+again by all three, and neither rows without an id nor rows of one id meet each other.
 
 Defined cases: null or wordless text has an empty set and is linked with nothing; a text of fewer
 words than a shingle is one shingle; rows that repeat an id are each returned; a null id is never
@@ -33,13 +37,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkweave.llm import hashing
-from linkweave.llm.support import append_columns, settle, small_batches, text_slices
+from linkweave.llm.support import settle, small_batches, text_slices
 
 
 @dataclass(frozen=True)
 class NearDedup:
     """words: of a shingle; percent: least similarity; cells: bits of the parity sketch, a multiple of
-    64; pivots: star rounds before all remaining pairs of a posting between components are compared."""
+    64; pivots: star rounds before all remaining pairs of a posting between components are compared;
+    block: classes of a large posting that meet those of another block under one key; hot: a class of over
+    one in so many rows is hot; broadcast_rows: most dropped rows that are broadcast, 40 MB."""
 
     words: int = 4
     percent: int = 80
@@ -47,6 +53,9 @@ class NearDedup:
     threshold: int = 20
     cells: int = 1024
     pivots: int = 1
+    block: int = 512
+    hot: int = 1000
+    broadcast_rows: int = 400_000
 
     @property
     def prefix(self) -> int:
@@ -81,8 +90,14 @@ def _parity(shingles: np.ndarray, cells: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text, h1 and h2: two hashes of the text that tell rows of one id apart."""
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"))
+
+
 def signatures(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, class, sig, parity) of each row; the last three are null for empty sets."""
+    """(id, h1, h2, n_shingles, class, sig, parity) of each row; the last three are null for empty sets."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,22 +121,23 @@ def signatures(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "doc_i
                         np.minimum(sig, (part >> np.uint64(32)).min(axis=0), out=sig)
                 sigs.append(sig.astype(np.uint32).view(np.int32))
                 odds.append(_parity(s, p.cells))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32())), pa.array(odds, pa.list_(pa.int64()))],
-                ["id", "n_shingles", "class", "sig", "parity"],
-            )
+            made = [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32())), pa.array(odds, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *made], ["id", "h1", "h2", "n_shingles", "class", "sig", "parity"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_shingles long, class binary, sig array<int>, parity array<long>")
+    return _hashed(docs, id_col, text_col).mapInArrow(run, f"id {kind}, h1 long, h2 long, n_shingles long, class binary, sig array<int>, parity array<long>")
+
+
+def _same_row(names: tuple[str, str, str]):
+    """That the row (id, h1, h2) is the one of these columns; a null id equals a null id."""
+    i, a, b = names
+    return F.col("id").eqNullSafe(F.col(i)) & (F.col("h1") == F.col(a)) & (F.col("h2") == F.col(b))
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, p: NearDedup, id_col: str, text_col: str) -> DataFrame:
-    """(class, shingles) of the wanted (class, rep) rows, read again from the texts."""
-    found = (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .join(wanted.select(F.col("rep").alias("id2"), "class"), F.col("id").eqNullSafe(F.col("id2")))
-        .select("class", "text")
-    )
+    """(class, shingles) of the wanted (class, one) rows, read again from the texts."""
+    ones = wanted.select("class", F.col("one.id").alias("i1"), F.col("one.h1").alias("a1"), F.col("one.h2").alias("b1"))
+    found = _hashed(docs, id_col, text_col).join(ones, _same_row(("i1", "a1", "b1"))).select("class", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +147,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, p: NearDedup, id_col: str, te
                 [pa.array([k for k, _ in rows], pa.binary()), pa.array([s for _, s in rows], pa.list_(pa.int64()))], ["class", "shingles"]
             )
 
-    # An id that repeats with other texts yields rows of other classes, which the key drops.
+    # Rows that repeat with their id and text yield one class several times.
     return found.mapInArrow(run, "class binary, shingles array<long>").dropDuplicates(["class"])
 
 
@@ -183,19 +199,24 @@ def _mixed(postings: DataFrame, root: DataFrame | None) -> DataFrame:
     head is the key's pivot: the class that shares most coordinates with others, as an original does with
     its changed copies, and of several the greatest.
     """
-    now = postings.drop("head")
+    now = postings.drop("head", "members")
     if root is not None:
         now = now.drop("root").join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    ends = now.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.struct("shared", "class")).alias("head"))
+    ends = now.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.struct("shared", "class")).alias("head"), F.count("*").alias("members"))
     ends = ends.withColumn("head", F.col("head.class"))
     return settle(now.join(ends.where("r0 <> r1").drop("r0", "r1"), "key"))
 
 
 def _linked(docs: DataFrame, p: NearDedup, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The signatures of docs, and (class, own, root, rep): each class's smallest id, its component and that one's smallest id."""
+    """The signatures of docs, and (class, own, copies, root, rep): each class's smallest id and rows, its component and that one's smallest id."""
     rows = settle(signatures(docs, p, id_col, text_col))
     classes = settle(
-        rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("parity").alias("parity"))
+        rows.where("class IS NOT NULL")
+        .groupBy("class")
+        .agg(
+            F.min("id").alias("rep"), F.min(F.struct("h1", "h2", "id")).alias("one"), F.count("*").alias("copies"),
+            F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("parity").alias("parity"),
+        )
     )
     posted = classes.select("class", F.posexplode("sig").alias("at", "value")).select("class", F.expr("shiftleft(bigint(at), 32) | (bigint(value) & 4294967295L)").alias("key"))
     counts = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -209,7 +230,7 @@ def _linked(docs: DataFrame, p: NearDedup, id_col: str, text_col: str) -> tuple[
     prefix = firsts.select("class", "shared", F.explode("keys").alias("key"))
     met_by = prefix.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     open_ = settle(prefix.join(met_by, "key").select("key", "class", "shared"))
-    wanted = open_.select("class").distinct().join(classes, "class").select("class", "rep")
+    wanted = open_.select("class").distinct().join(classes, "class").select("class", "one")
     sets = settle(_full_sets(docs, wanted, p, id_col, text_col))
 
     now = open_.join(classes.select("class", "n", "parity"), "class").withColumn("root", F.col("class"))
@@ -221,19 +242,25 @@ def _linked(docs: DataFrame, p: NearDedup, id_col: str, text_col: str) -> tuple[
         now = _mixed(now, root)
         if now.isEmpty():
             break
-        other = now.select(F.col("key").alias("key2"), F.col("class").alias("b"), F.col("root").alias("r2"), F.col("n").alias("n2"), F.col("parity").alias("p2"), F.col("head").alias("h2"))
+        other = now.select(F.col("key").alias("key2"), F.col("class").alias("b"), F.col("root").alias("r2"), F.col("n").alias("n2"), F.col("parity").alias("p2"), F.col("head").alias("head2"), "members")
         differ = reduce(lambda x, y: x + y, [F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("p2")[i])) for i in range(p.cells // 64)])
         near = differ * (100 + p.percent) <= (F.col("n") + F.col("n2")) * (100 - p.percent)
         met = [F.col("key") == F.col("key2"), F.col("root") != F.col("r2"), near]
         if turn < p.pivots:
-            pairs = now.join(other.where("b = h2"), met)
+            pairs = now.join(other.where("b = head2").drop("members"), met)
             left = now.where("class <> head")
         else:
             # A pair is taken under its least common key alone. If that key's pivot was one of the pair, it has
             # been compared there before and is not under the key any more.
-            own = now.join(firsts.select("class", "keys"), "class")
-            theirs = other.join(firsts.select(F.col("class").alias("b"), F.col("keys").alias("k2")), "b")
-            pairs = own.join(theirs, [*met, F.col("class") < F.col("b"), F.array_min(F.array_intersect("keys", "k2")) == F.col("key")])
+            blocks = F.ceil(F.col("members") / p.block).cast("int")
+            own = now.join(firsts.select("class", "keys"), "class").withColumn("i", F.pmod(F.xxhash64("class"), blocks).cast("int"))
+            # Block i meets itself and every later block j.
+            own = own.withColumn("j", F.explode(F.sequence("i", blocks - 1)))
+            theirs = other.join(firsts.select(F.col("class").alias("b"), F.col("keys").alias("k2")), "b").withColumn("j2", F.pmod(F.xxhash64("b"), blocks).cast("int"))
+            theirs = theirs.withColumn("i2", F.explode(F.sequence(F.lit(0), "j2"))).drop("members")
+            once = (F.col("i") < F.col("j")) | (F.col("class") < F.col("b"))
+            least_common = F.array_min(F.array_intersect("keys", "k2")) == F.col("key")
+            pairs = own.join(theirs, [met[0], F.col("i") == F.col("i2"), F.col("j") == F.col("j2"), *met[1:], once, least_common])
             left = now.limit(0)
         pairs = pairs.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
         if tried:
@@ -246,52 +273,58 @@ def _linked(docs: DataFrame, p: NearDedup, id_col: str, text_col: str) -> tuple[
             root = settle(components(reduce(DataFrame.union, links)))
         now = left
 
-    named = classes.select("class", F.col("rep").alias("own"), F.col("class").alias("root"), "rep")
+    named = classes.select("class", F.col("rep").alias("own"), "copies", F.col("class").alias("root"), "rep")
     if root is not None:
         in_one = named.select("class", "own").join(root.withColumnRenamed("node", "class"), "class")
         least = in_one.groupBy("root").agg(F.min("own").alias("least"))
         moved = in_one.join(least, "root").select("class", F.col("root").alias("to"), "least")
-        named = named.join(moved, "class", "left").select("class", "own", F.coalesce("to", "root").alias("root"), F.coalesce("least", "rep").alias("rep"))
-    return rows, named
+        named = named.join(moved, "class", "left").select("class", "own", "copies", F.coalesce("to", "root").alias("root"), F.coalesce("least", "rep").alias("rep"))
+    return rows, settle(named)
 
 
 def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs (see the module's cases)."""
     rows, named = _linked(docs, p, id_col, text_col)
-    out = rows.select("id", "n_shingles", "class").join(named.select("class", "rep"), "class", "left")
-    component = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("rep"))
-    return out.select(
+    mine = rows.where("class IS NOT NULL").select("id", "n_shingles", "class")
+    # At most ``hot`` classes have more than that part of the rows; theirs are joined where they are.
+    total = rows.agg(F.count("*").alias("total"))
+    hot = F.broadcast(named.join(F.broadcast(total), F.col("copies") * p.hot > F.col("total")).select("class", "rep"))
+    component = {
+        "alone": rows.where("class IS NULL").select("id", "n_shingles", F.col("id").alias("rep")),
+        "hot": mine.join(hot, "class").select("id", "n_shingles", "rep"),
+        "others": mine.join(hot, "class", "left_anti").join(named.select("class", "rep"), "class").select("id", "n_shingles", "rep"),
+    }
+    return reduce(DataFrame.union, component.values()).select(
         F.col("id").alias("doc_id"),
         "n_shingles",
-        component.alias("component_id"),
-        F.col("id").eqNullSafe(component).alias("kept"),
+        F.col("rep").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("rep")).alias("kept"),
     )
 
 
 def deduplicated(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs of each component, and every row whose text has an empty set.
 
-    The row has the component's smallest id; of several classes under that id it is of the smallest key, and
-    of several rows of that class it has the smallest text. Ids need not be unique or known: rows are told
-    apart by id and class.
+    The row has the component's smallest id; of several classes under that id it is of the smallest key, of
+    several texts of that class it has the smallest hash, and of rows that repeat both any one stays. Ids
+    need not be unique or known.
     """
     rows, named = _linked(docs, p, id_col, text_col)
-    chosen = named.where(F.col("own").eqNullSafe(F.col("rep"))).groupBy("root").agg(F.min("class").alias("__one"), F.first("rep").alias("__id")).drop("root")
-    mine = (F.col("__one") == F.col("class")) & F.col("__id").eqNullSafe(F.col("id"))
-    chosen = settle(rows.where("class IS NOT NULL").select("id", "class").join(chosen, mine).groupBy("__one", "__id").agg(F.count("*").alias("__n")))
-
-    def maker():
-        def compute(column: pa.Array) -> list[pa.Array]:
-            return [pa.array([_class_key(s) if len(s) else None for s in _sets(column, p.words)], pa.binary())]
-
-        return compute
-
-    keyed = append_columns(docs, [T.StructField("__class", T.BinaryType())], maker, text_col)
-    mine = (F.col("__one") == F.col("__class")) & F.col("__id").eqNullSafe(F.col(id_col))
-    out = keyed.join(chosen.where("__n = 1"), mine, "left").where("__class IS NULL OR __one IS NOT NULL").select(docs.columns)
-    repeated = chosen.where("__n > 1")
+    sets = rows.where("class IS NOT NULL").select("id", "h1", "h2", "class")
+    first = named.where(F.col("own").eqNullSafe(F.col("rep"))).groupBy("root").agg(F.min("class").alias("c1"), F.first("rep").alias("i1")).drop("root")
+    texts = sets.join(first, (F.col("class") == F.col("c1")) & F.col("id").eqNullSafe(F.col("i1"))).groupBy("c1", "i1", "h1", "h2").agg(F.count("*").alias("n"))
+    kept = texts.groupBy("c1", "i1").agg(F.min(F.struct("h1", "h2", "n")).alias("k")).select("i1", F.col("k.h1").alias("a1"), F.col("k.h2").alias("b1"), F.col("k.n").alias("n"))
+    kept = settle(kept)
+    goes = sets.select("id", "h1", "h2").distinct().join(kept.where("n = 1"), _same_row(("i1", "a1", "b1")), "left_anti")
+    goes = settle(goes.select(F.col("id").alias("i1"), F.col("h1").alias("a1"), F.col("h2").alias("b1")))
+    text = F.col(text_col)
+    marked = docs.select(*docs.columns, F.col(id_col).alias("__i"), F.xxhash64(text).alias("__a"), F.xxhash64(F.lit(7), text).alias("__b"))
+    same = lambda i, a, b: F.col("__i").eqNullSafe(F.col(i)) & (F.col("__a") == F.col(a)) & (F.col("__b") == F.col(b))
+    gone = goes.select(F.col("i1").alias("__i1"), F.col("a1").alias("__a1"), F.col("b1").alias("__b1"))
+    out = marked.join(F.broadcast(gone) if gone.count() <= p.broadcast_rows else gone, same("__i1", "__a1", "__b1"), "left_anti").select(docs.columns)
+    repeated = kept.where("n > 1").select(F.col("i1").alias("__i1"), F.col("a1").alias("__a1"), F.col("b1").alias("__b1"))
     if repeated.isEmpty():
         return out
-    # An aggregate, as one text may be a large part of all rows.
-    one = keyed.join(repeated, mine).groupBy("__one").agg(F.min_by(F.struct(*docs.columns), F.struct(text_col)).alias("__row"))
+    # Rows of one id and text: an aggregate, as they may be a large part of all rows.
+    one = marked.join(repeated, same("__i1", "__a1", "__b1")).groupBy("__i1", "__a1", "__b1").agg(F.first(F.struct(*docs.columns)).alias("__row"))
     return out.unionByName(one.select("__row.*"))

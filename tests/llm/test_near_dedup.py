@@ -48,8 +48,8 @@ def test_awkward_rows(spark):
     check(spark, ROWS)
 
 
-@pytest.mark.parametrize("pivots", [0, 2])
-def test_chains_and_borderline_families(spark, pivots):
+@pytest.mark.parametrize(("pivots", "block"), [(0, 7), (2, 512)])
+def test_chains_and_borderline_families(spark, pivots, block):
     """Families of copies whose mutual similarity lies around the limit, and chains of small changes."""
     rnd = random.Random(5)
     rows, base = [], prose(11, 90)
@@ -62,7 +62,7 @@ def test_chains_and_borderline_families(spark, pivots):
     for i in range(12):
         rows.append((100 + i, chain))
         chain = near(chain, 5 * i).replace("changed", f"c{i}")
-    check(spark, rows, NearDedup(pivots=pivots))
+    check(spark, rows, NearDedup(pivots=pivots, block=block, hot=20))
 
 
 def test_empty_table(spark):
@@ -78,3 +78,13 @@ def test_components_of_a_long_path(spark):
 def test_equals_sql(spark):
     con = connect(SF)
     assert canon(near_duplicates(table(spark, SF, "documents")).toPandas()) == canon(con.sql(SQL).df())
+
+
+@pytest.mark.parametrize("same", [None, 5])
+def test_many_rows_without_an_id_or_of_one(spark, same):
+    """Rows of one id don't meet each other: three thousand of them take no longer than others."""
+    rows = [(same, prose(500 + i // 2, 40)) for i in range(3000)] + [(9, near(prose(500, 40), 3))]
+    got = near_duplicates(documents(spark, rows)).collect()
+    nine = 5 if same else 9  # a near copy of the first two
+    assert len(got) == len(rows) and all(r.component_id == (nine if r.doc_id == 9 else same) or r.component_id == nine for r in got)
+    assert sum(r.component_id == nine for r in got) == (len(rows) if same else 3)
