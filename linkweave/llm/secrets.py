@@ -4,13 +4,13 @@ Base kinds, leftmost and non-overlapping each: ``assign`` (a sensitive name set
 characters or more; the span is the whole match), ``access`` (access-key ids) and ``hex`` (long runs
 of lower-case hex digits).
 
-``novel`` adds what no pattern names: a candidate is a long token of key characters that mixes letters
-and digits, close behind a sensitive word. Its marginal size is what it adds to the compressed text
-around it, when the compressor is primed with identifiers and with that text's own words. Tokens made
-of known identifiers or of the surrounding prose cost few bytes; a key costs about its entropy. A
-candidate that costs at least ``bytes_per_char`` a character is reported unless it overlaps a base span.
-Where even a random string of its length and alphabet costs less than that, as long ones and those of few
-characters do, ``of_random`` of that string's cost is enough.
+``novel`` adds what no pattern names: a candidate is a token of key characters that mixes letters and
+digits, with a sensitive word in it or close to it on either side. Its
+marginal size is what it adds to the compressed text around it, when the compressor is primed with a
+dictionary of identifiers: the size of surroundings and token less that of the surroundings alone. Parts of
+known identifiers or of the surrounding text cost few bytes; a key costs about its entropy. All is lower-cased
+first, so that words in any case are known. A candidate that costs at least ``of_random`` of what a random
+string of its length and alphabet costs by the same means is reported unless it overlaps a base span.
 
 Defined cases: null and empty texts have no spans; whole texts are scanned, however long; rows that
 repeat are each returned; spans of equal start are in the order of KINDS.
@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from bisect import bisect_right
+from bisect import bisect_left
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -38,8 +38,8 @@ KINDS = ("assign", "access", "hex", "novel")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_SENSITIVE = re.compile(r"(?:passw|secret|token|api[_-]?key|credential|private[_-]?key|access[_-]?key|client[_-]?id|auth|bearer|signature)", re.IGNORECASE | re.ASCII)
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}", re.ASCII)
+_SENSITIVE = re.compile(r"(?:passw|secret|token|api[\x20_-]?key|credential|private[\x20_-]?key|access[\x20_-]?key|client[\x20_-]?id|auth|bearer|signature)", re.IGNORECASE | re.ASCII)
+_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}", re.ASCII)
 #: Characters that a key's writing uses together.
 _ALPHABETS = tuple((re.compile(f"[{some}]", re.ASCII), every) for some, every in (("g-z", "abcdefghijklmnopqrstuvwxyz"), ("a-f", "abcdef"), ("G-Z", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("A-F", "ABCDEF"), ("0-9", "0123456789"), ("+", "+"), ("/", "/"), ("_", "_"), ("-", "-")))
 
@@ -74,14 +74,14 @@ IDENTIFIERS = (
 
 @dataclass(frozen=True)
 class SecretScan:
-    """reach: characters between a sensitive word's end and a candidate; around: characters of context
-    on either side; bytes_per_char: marginal compressed bytes a character that make a key; of_random:
-    share of a random string's cost that makes one too."""
+    """reach: characters between a sensitive word and a candidate; around: characters of context
+    on either side; of_random: share of a random string's cost that makes a key; seeds: random strings
+    that are averaged."""
 
     reach: int = 48
     around: int = 512
-    bytes_per_char: float = 0.8
-    of_random: float = 0.9
+    of_random: float = 0.8
+    seeds: int = 5
 
 
 def _any_in(words: tuple[str, ...], text: str) -> bool:
@@ -101,20 +101,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-@lru_cache(maxsize=65536)
-def _random_cost(alphabet: str, length: int) -> float:
-    """Compressed bytes a character of a random string, by the same means as a candidate's."""
-    return _marginal(_press(IDENTIFIERS), "".join(random.Random(length).choices(alphabet, k=length)))
-
-
-def _press(primer: bytes) -> zstandard.ZstdCompressor:
-    primed = zstandard.ZstdCompressionDict(primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False)
-
-
-def _marginal(press: zstandard.ZstdCompressor, token: str) -> float:
-    own = token.lower().encode("utf-8")
-    return (len(press.compress(own)) - len(press.compress(b""))) / len(own)
+#: Prose that stands before the surroundings, so that a few words of them don't set the statistics.
+CARRIER = (
+    "people went down to the river in the morning and came back late with what they had found there; nobody asked how much it was worth. "
+    "for each row the program checks whether its value is larger than the last one, then it writes both of them and goes on to the next page. "
+    "we hope that this will help you, but if it does not, please tell us about your problem and which of the steps above did fail. "
+).encode()
 
 
 class Novelty:
@@ -122,29 +114,46 @@ class Novelty:
 
     def __init__(self, p: SecretScan):
         self.p = p
+        primed = zstandard.ZstdCompressionDict(IDENTIFIERS.lower(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.press = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False)
+        self.random_cost = lru_cache(maxsize=65536)(self._random_cost)
+
+    def _marginal(self, around: bytes, token: bytes) -> float:
+        """Bytes that the token adds, a byte of it."""
+        return (len(self.press.compress(around + b" " + token)) - len(self.press.compress(around + b" "))) / len(token)
+
+    def _random_cost(self, alphabet: str, length: int) -> float:
+        made = ["".join(random.Random(length * 31 + k).choices(alphabet, k=length)) for k in range(self.p.seeds)]
+        return sum(self._marginal(CARRIER, x.lower().encode()) for x in made) / len(made)
 
     def cost(self, text: str, start: int, end: int) -> float:
-        before = text[max(0, start - self.p.around) : start].encode("utf-8")
-        after = text[end : end + self.p.around].encode("utf-8")
-        return _marginal(_press(IDENTIFIERS + before.lower() + after + before), text[start:end])
+        before = text[max(0, start - self.p.around) : start]
+        after = text[end : end + self.p.around]
+        return self._marginal(CARRIER + f"{after} {before}".lower().encode("utf-8"), text[start:end].lower().encode("utf-8"))
 
     def least(self, token: str) -> float:
-        """The cost a character from which a token is a key; it hardly changes beyond some length."""
-        alphabet = "".join(dict.fromkeys("".join(every for some, every in _ALPHABETS if some.search(token))))
-        return min(self.p.bytes_per_char, self.p.of_random * _random_cost(alphabet, min(len(token), 16384)))
+        """The cost a character from which a token is a key; it hardly changes beyond some length.
+
+        Kinds of characters that make up under a sixteenth, as of a word glued to a key, don't count.
+        """
+        most = max(1, len(token) // 16)
+        alphabet = "".join(dict.fromkeys("".join(every for some, every in _ALPHABETS if len(some.findall(token)) >= most)))
+        return self.p.of_random * self.random_cost(alphabet, min(len(token), 16384))
 
     def spans(self, text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
         out: list[tuple[int, int, str]] = []
         if not _any_in(_SENSITIVE_WORDS, text.lower()):
             return out
-        ends = [word.end() for word in _SENSITIVE.finditer(text)]
-        if not ends:
+        words = [word.span() for word in _SENSITIVE.finditer(text)]
+        if not words:
             return out
+        # Matches don't overlap, so their starts and their ends both ascend.
+        starts, ends = [a for a, _ in words], [b for _, b in words]
         busy = sorted((a, b) for a, b, _ in taken)
-        for m in _CANDIDATE.finditer(text, ends[0]):
-            # The last word that ends before the token.
-            at = bisect_right(ends, m.start()) - 1
-            if at < 0 or m.start() - ends[at] > self.p.reach:
+        for m in _CANDIDATE.finditer(text):
+            # The first word that ends close enough before the token or later.
+            at = bisect_left(ends, m.start() - self.p.reach)
+            if at == len(ends) or starts[at] > m.end() + self.p.reach:
                 continue
             if not any(a < m.end() and m.start() < b for a, b in busy) and self.cost(text, *m.span()) >= self.least(m.group()):
                 out.append((m.start(), m.end(), "novel"))

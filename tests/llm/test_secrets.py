@@ -74,3 +74,30 @@ def test_keys_of_every_length_and_alphabet():
             assert [text[a:b] for a, b, _ in novelty.spans(text, [])] == [key], (alphabet, length)
     words = "".join(random.Random(1).choices("River Moved Slowly Bridge Meadow Harvest Garden Cloud Summer Winter Yellow Orange".split(), k=60)) + "2"
     assert novelty.spans(f"auth: {words}", []) == []
+
+
+NAMES = [
+    "useAuthProvider2WithCallback", "TestOAuth2ClientCredentialsGrant", "signature: sha256WithRSAEncryption", "oauth2_refresh_token_url", "https://auth.example.com/api/v1/users/current",
+    "secret/data/production/app1/config", "client_id=web_frontend_application_01", "service-account-token v1beta1/tokenreviews", "import AuthModule2FactorComponent",
+]
+
+
+def test_names_around_sensitive_words_are_no_keys():
+    novelty = Novelty(SecretScan())
+    assert [x for x in NAMES if novelty.spans(x, [])] == []
+
+
+def test_recall_on_random_keys_behind_before_and_glued_to_sensitive_words():
+    novelty, rnd = Novelty(SecretScan()), random.Random(12)
+    base64 = string.ascii_letters + string.digits + "+/"
+    found = tried = 0
+    for form in ('auth: "{}"', "Authorization: Bearer {}", "auth_live_{}", "{} is the access key", "credential of the second machine is here: {}"):
+        for alphabet in (base64, base64[:62], string.ascii_lowercase + string.digits, "0123456789ABCDEF"):
+            for length in (20, 40, 200, 1000, 4000):
+                for _ in range(4):
+                    key = "".join(rnd.choices(alphabet, k=length - 2)) + ("A1" if alphabet[-1] == "F" else "a1")
+                    text = f"the river moved slowly past the old mill\n{form.format(key)} and people walked home"
+                    at = text.index(key)
+                    tried += 1
+                    found += any(a <= at and at + length <= b for a, b, _ in novelty.spans(text, []))
+    assert found >= 0.95 * tried
