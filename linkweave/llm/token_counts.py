@@ -2,7 +2,8 @@
 
 Before any text is read, each vocabulary string that a text can hold as a unit is encoded alone; those
 that give one token are proven shortcuts and count one wherever they stand as a unit. Only the other
-units are merged by the tokenizer, each distinct one once while it is remembered.
+units are merged by the tokenizer, each distinct short one once while it is remembered. The proof is made
+once on the driver and broadcast; it is bounded by the vocabulary.
 
 The vocabulary must be separable (no piece crosses a unit's start), which is checked; else texts are
 encoded whole.
@@ -29,12 +30,14 @@ from linkweave.llm.support import append_columns, small_batches
 
 @dataclass(frozen=True)
 class TokenCount:
-    """model: path of a sentencepiece model on the executors; limit: tokens over which a text is too
-    long; remembered: distinct merged units that a task keeps, which bounds its memory."""
+    """model: path of a sentencepiece model on the driver and the executors; limit: tokens over which a
+    text is too long; remembered: distinct merged units that a task keeps, none of over unit_chars
+    characters, which bounds its memory in bytes."""
 
     model: str = ""
     limit: int = 4096
     remembered: int = 300_000
+    unit_chars: int = 32
 
     @property
     def path(self) -> str:
@@ -51,38 +54,63 @@ def proven_units(sp: sentencepiece.SentencePieceProcessor) -> dict[str, int]:
     return found
 
 
+def proof(path: str) -> dict[str, int] | None:
+    """The proven units of a model, or None if pieces cross units and texts must be encoded whole."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    return proven_units(sp) if pieces.separable([sp.id_to_piece(i) for i in range(sp.get_piece_size())]) else None
+
+
 class Counter:
     """Counts tokens of texts; holds the proven units and a bounded memory of merged ones."""
 
-    def __init__(self, path: str, remembered: int):
-        self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.separable = pieces.separable([self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())])
-        self.proven = proven_units(self.sp) if self.separable else {}
-        self.known = dict(self.proven)
-        self.most = len(self.proven) + remembered
+    def __init__(self, p: TokenCount, proven: dict[str, int] | None):
+        self.sp = sentencepiece.SentencePieceProcessor(model_file=p.path)
+        self.proven = proven
+        self.known = dict(proven or {})
+        self.most = len(self.known) + p.remembered
+        self.longest = p.unit_chars
+
+    def _merged(self, units: list[str]) -> list[int]:
+        """Token counts of units by the library; the texts it is given at once stay below some MB."""
+        out: list[int] = []
+        at = size = 0
+        for i, u in enumerate(units):
+            size += len(u)
+            if size > 1_000_000 or i + 1 == len(units):
+                out += map(len, self.sp.encode(units[at : i + 1], num_threads=1))
+                at, size = i + 1, 0
+        return out
 
     def counts(self, texts: list[str]) -> list[int]:
-        if not self.separable:
-            return [len(x) for x in self.sp.encode(texts, num_threads=1)]
+        if self.proven is None:
+            return self._merged(texts)
         out: list[int] = []
         for text in texts:
             found = pieces.units(text)
-            new = list(set(found).difference(self.known))
+            known = self.known
+            new = list(set(found).difference(known))
+            long = [u for u in new if len(u) > self.longest]
             if new:
-                if len(self.known) + len(new) > self.most:
-                    self.known = dict(self.proven)
-                    new = list(set(found).difference(self.known))
-                self.known.update(zip(new, map(len, self.sp.encode(new, num_threads=1)), strict=True))
-            out.append(sum(map(self.known.__getitem__, found)))
+                if len(known) + len(new) - len(long) > self.most:
+                    known = self.known = dict(self.proven)
+                    new = list(set(found).difference(known))
+                    long = [u for u in new if len(u) > self.longest]
+                known.update(zip(new, self._merged(new), strict=True))
+            out.append(sum(map(known.__getitem__, found)))
+            # Long units are counted with their text alone.
+            for u in long:
+                del known[u]
         return out
 
 
 def token_counts(docs: DataFrame, p: TokenCount = TokenCount(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of each row of docs."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
+    shipped = spark.sparkContext.broadcast(proof(p.path))
 
     def maker():
-        counter = Counter(p.path, p.remembered)
+        counter = Counter(p, shipped.value)
 
         def compute(column: pa.Array) -> list[pa.Array]:
             texts = [t or "" for t in column.to_pylist()]
