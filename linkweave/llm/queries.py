@@ -44,7 +44,7 @@ def op6_novelty_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_unigram_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_decode(table(spark, sf_dir, "documents"), with_ids=False)
+    return encode_decode(table(spark, sf_dir, "documents"))
 
 
 def op8_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

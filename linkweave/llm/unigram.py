@@ -7,8 +7,9 @@ as byte pieces.
 
 Markers: a text gets one in front and each blank is one; decoding turns them back and drops the first.
 As no piece crosses a unit (checked), the best path of a text is that of its units, and the best path
-of a distinct unit is found once while it is remembered. Of paths of one score the one whose last
-piece is longest wins.
+of a distinct unit is found once while it is remembered. The units that are new in a group of texts walk the
+trie side by side, a step of all at once; long units go alone and aren't remembered. Of paths of one score
+the one whose last piece is longest wins.
 
 Defined cases: null and empty texts have no pieces and decode to the empty text; a text that holds
 U+2581 itself decodes to a blank in its place and is not a round trip of its bytes; long texts are
@@ -35,9 +36,13 @@ from linkweave.llm.support import append_columns, small_batches
 
 @dataclass(frozen=True)
 class Unigram:
+    """model: path of a sentencepiece model on the driver; unknown: penalty of a byte-written character;
+    remembered: distinct units that a task keeps, none of over unit_bytes bytes, which bounds its memory."""
+
     model: str = ""
     unknown: float = 10.0
     remembered: int = 250_000
+    unit_bytes: int = 48
 
     @property
     def path(self) -> str:
@@ -130,6 +135,8 @@ class Codec:
             self.score[i] = -math.log(r + 2) - total
         self.unknown = min(self.score[i] for i in ordinary) - p.unknown
         self.trie = DoubleArray.build({names[i].encode("utf-8"): i for i in ordinary})
+        self.arrays = tuple(np.array(a, dtype=np.int32) for a in (self.trie.base, self.trie.check, self.trie.value, self.bytes))
+        self.scores = np.array(self.score)
 
     def best(self, unit: str) -> list[int]:
         """The pieces of the best path over a unit, which begins with a marker that is not given."""
@@ -175,30 +182,130 @@ class Codec:
         out.reverse()
         return out
 
+    def best_many(self, raws: list[bytes]) -> list[bytes]:
+        """The pieces of the best paths over units with their markers, as little-endian int32; one step of all at a time.
+
+        Equal to ``best`` for each: scores are added in the same order, and a later path must score more.
+        """
+        base, check, value, byte_piece = self.arrays
+        size = np.fromiter(map(len, raws), dtype=np.int64, count=len(raws))
+        n, most = len(raws), int(size.max())
+        at = np.concatenate(([0], np.cumsum(size)))
+        text = np.zeros((n, most), dtype=np.int32)
+        inside = np.arange(most) < size[:, None]
+        text[inside] = np.frombuffer(b"".join(raws), dtype=np.uint8)
+        best = np.full((most + 1, n), -np.inf)
+        best[0] = 0.0
+        back = np.zeros((most + 1, n), dtype=np.int32)
+        by = np.full((most + 1, n), -1, dtype=np.int32)
+        for i in range(most):
+            live = np.flatnonzero((size > i) & (best[i] > -np.inf))
+            if not len(live):
+                continue
+            lead = text[live, i]
+            width = 1 + (lead >= 0x80) + (lead >= 0xE0) + (lead >= 0xF0)
+            single = np.zeros(n, dtype=bool)
+            wide = np.zeros(n, dtype=np.int64)
+            wide[live] = width
+            now, state = live, np.zeros(len(live), dtype=np.int32)
+            for j in range(i, most):
+                to = base[state] + text[now, j] + 1
+                good = (check[to] == state) & (size[now] > j)
+                now, state = now[good], to[good]
+                if not len(now):
+                    break
+                piece = value[state]
+                ends = piece >= 0
+                unit, piece = now[ends], piece[ends]
+                single[unit[wide[unit] == j - i + 1]] = True
+                got = best[i, unit] + self.scores[piece]
+                more = got > best[j + 1, unit]
+                unit = unit[more]
+                best[j + 1, unit], back[j + 1, unit], by[j + 1, unit] = got[more], i, piece[more]
+            unit = live[~single[live]]
+            to = i + wide[unit]
+            got = best[i, unit] + self.unknown
+            more = got > best[to, unit]
+            unit, to = unit[more], to[more]
+            best[to, unit], back[to, unit], by[to, unit] = got[more], i, -1
+        owner, start, pieces_ = [], [], []
+        unit, end = np.arange(n), size.copy()
+        while len(unit):
+            first, piece = back[end, unit].astype(np.int64), by[end, unit]
+            known = piece >= 0
+            owner.append(unit[known])
+            start.append(first[known])
+            pieces_.append(piece[known])
+            for k in range(4):
+                spelled = ~known & (first + k < end)
+                owner.append(unit[spelled])
+                start.append(first[spelled] + k)
+                pieces_.append(byte_piece[text[unit[spelled], first[spelled] + k]])
+            rest = first > 0
+            unit, end = unit[rest], first[rest]
+        owner, start, flat = np.concatenate(owner), np.concatenate(start), np.concatenate(pieces_)
+        flat = flat[np.argsort(at[owner] + start, kind="stable")].astype("<i4").tobytes()
+        to = 4 * np.cumsum(np.bincount(owner, minlength=n))
+        ends = to.tolist()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
     def decode(self, ids: list[int]) -> str:
         """The text of pieces, without the first marker; bytes that are not UTF-8 become U+FFFD."""
         return b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
 
+#: Characters of texts whose units are looked up together, unless one text is longer; and units that walk side by side.
+GROUP_CHARS = 2_000_000
+SIDE_BY_SIDE = 16_384
+
+
 class Encoder:
     """A codec with a bounded memory of units; for texts of one task."""
 
-    def __init__(self, codec: Codec, remembered: int):
-        self.codec, self.most = codec, remembered
-        self.known: dict[str, np.ndarray] = {}
+    def __init__(self, codec: Codec, p: Unigram):
+        self.codec, self.most, self.longest = codec, p.remembered, p.unit_bytes
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> list[str]:
+        """Put the pieces of new units among the known ones; returns the long units."""
+        known, codec = self.known, self.codec
+        head = pieces.MARK.encode("utf-8")
+        # A unit that has no other marker, the usual case, needs no replacement.
+        raws = [head + (u.replace(" ", pieces.MARK) if " " in u else u).encode("utf-8") for u in new]
+        order = sorted((i for i, r in enumerate(raws) if len(r) <= self.longest), key=lambda i: len(raws[i]))
+        for lo in range(0, len(order), SIDE_BY_SIDE):
+            some = order[lo : lo + SIDE_BY_SIDE]
+            known.update(zip([new[i] for i in some], codec.best_many([raws[i] for i in some]), strict=True))
+        long = [u for u, r in zip(new, raws, strict=True) if len(r) > self.longest]
+        for u in long:
+            known[u] = np.array(codec.best(u), dtype="<i4").tobytes()
+        return long
+
+    def _group(self, texts: list[str]) -> list[np.ndarray]:
+        found = [pieces.units(t) for t in texts] if self.codec.separable else [[t] if t else [] for t in texts]
+        every = set().union(*found)
+        new = every.difference(self.known)
+        if len(self.known) + len(new) > self.most:
+            self.known.clear()
+            new = every
+        long = self._learn(list(new))
+        get = self.known.__getitem__
+        out = [np.frombuffer(b"".join(map(get, f)), dtype="<i4") for f in found]
+        for u in long:
+            del self.known[u]
+        return out
 
-    def encode(self, text: str) -> np.ndarray:
-        found = pieces.units(text) if self.codec.separable else [text] if text else []
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        out = bytearray()
-        for u in found:
-            ids = known.get(u)
-            if ids is None:
-                ids = known[u] = np.array(self.codec.best(u), dtype="<i4").tobytes()
-            out += ids
-        return np.frombuffer(bytes(out), dtype="<i4")
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        group: list[str] = []
+        size = 0
+        for t in texts:
+            if group and size + len(t) > GROUP_CHARS:
+                out += self._group(group)
+                group, size = [], 0
+            group.append(t)
+            size += len(t)
+        return out + (self._group(group) if group else [])
 
 
 def encode_decode(docs: DataFrame, p: Unigram = Unigram(), id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_text: bool = False) -> DataFrame:
@@ -212,15 +319,14 @@ def encode_decode(docs: DataFrame, p: Unigram = Unigram(), id_col: str = "doc_id
 
     def maker():
         codec = shipped.value
-        encoder = Encoder(codec, p.remembered)
+        encoder = Encoder(codec, p)
         is_byte = np.zeros(len(codec.surface), dtype=bool)
         is_byte[codec.bytes] = True
 
         def compute(column: pa.Array) -> list[pa.Array]:
             ids, n_bytes, back, texts = [], [], [], []
-            for text in column.to_pylist():
-                text = text or ""
-                x = encoder.encode(text)
+            every = [t or "" for t in column.to_pylist()]
+            for text, x in zip(every, encoder.encode_all(every), strict=True):
                 decoded = codec.decode(x.tolist())
                 ids.append(x)
                 n_bytes.append(int(is_byte[x].sum()))

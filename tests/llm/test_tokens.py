@@ -2,11 +2,12 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import sentencepiece
 from fixtures import ROWS, documents
 
 from linkweave.llm import pieces
-from linkweave.llm.token_counts import Counter, TokenCount, token_counts
+from linkweave.llm.token_counts import Counter, TokenCount, proof, token_counts
 from linkweave.llm.unigram import Codec, Encoder, Unigram, encode_decode
 
 PATH = TokenCount().path
@@ -28,7 +29,7 @@ def test_counts_equal_the_library(spark):
 
 def test_counts_of_odd_strings_and_a_small_memory():
     texts = fuzz(3000)
-    counter = Counter(PATH, 50)
+    counter = Counter(TokenCount(remembered=50), proof(PATH))
     assert counter.counts(texts) == [len(x) for x in counter.sp.encode(texts)]
     assert len(counter.known) < counter.most + 100
 
@@ -58,9 +59,9 @@ def path_score(codec, ids, unit):
 
 def test_viterbi_is_best_and_round_trips():
     codec = Codec(Unigram())
-    encoder = Encoder(codec, 100)
+    encoder = Encoder(codec, Unigram(remembered=100))
     for text in fuzz(1500):
-        ids = encoder.encode(text).tolist()
+        ids = encoder.encode_all([text])[0].tolist()
         assert codec.decode(ids) == text.replace(pieces.MARK, " ")
     for unit in ["hello", "unbelievable", "zé中", "🙂x", "aaaaaaa", "  lead"]:
         ids = codec.best(unit)
@@ -118,10 +119,10 @@ def library_unigram(codec):
 
 def test_encoding_equals_the_librarys_unigram_but_for_ties():
     codec = Codec(Unigram())
-    encoder, library = Encoder(codec, 1000), library_unigram(codec)
+    encoder, library = Encoder(codec, Unigram(remembered=1000)), library_unigram(codec)
     words = [w for _, t in ROWS if t for w in t.split(" ")[:200] if pieces.MARK not in w]
     for w in words:
-        ours, theirs = encoder.encode(w).tolist(), library.encode(w)
+        ours, theirs = encoder.encode_all([w])[0].tolist(), library.encode(w)
         total = lambda ids: sum(codec.score[i] for i in ids)
         assert ours == theirs or abs(total(ours) - total(theirs)) < 1e-4
 
@@ -132,3 +133,21 @@ def test_documents_round_trip(spark):
     assert all(r.round_trip and r.n_pieces == len(r.ids) for r in rows)
     assert all(r.ids_crc32 == zlib.crc32(struct.pack(f"<{len(r.ids)}i", *r.ids)) for r in rows)
     assert encode_decode(documents(spark, [])).count() == 0
+
+
+def test_units_side_by_side_equal_units_alone():
+    codec = Codec(Unigram())
+    units = sorted({u for t in fuzz(400) for u in pieces.units(t)} | {"", " ", "x" * 300, "\U0001f642" * 9, "\x00", "na\u00efve"})
+    raws = [(pieces.MARK + u.replace(" ", pieces.MARK)).encode() for u in units]
+    assert [np.frombuffer(x, "<i4").tolist() for x in codec.best_many(raws)] == [codec.best(u) for u in units]
+
+
+def test_long_unspaced_texts_are_not_remembered():
+    texts = [chr(0x4E00 + i % 5000) * 50 + str(i) * 2000 for i in range(60)] + ["short words stay"]
+    counter = Counter(TokenCount(), proof(PATH))
+    assert counter.counts(texts) == [len(x) for x in counter.sp.encode(texts)]
+    assert max(map(len, counter.known)) <= TokenCount().unit_chars and "words" in counter.known
+    codec = Codec(Unigram())
+    encoder = Encoder(codec, Unigram())
+    got = encoder.encode_all(texts)
+    assert [codec.decode(x.tolist()) for x in got] == texts and max(map(len, encoder.known)) <= Unigram().unit_bytes
