@@ -8,8 +8,9 @@ Only runs of words that all occur in items are streamed; a word that no item has
 automaton, so skipping the words between such runs changes nothing.
 
 The automaton is built on the driver and shipped to the tasks. Items are taken in blocks of at most
-``block_words`` words, one pass of the documents for each block, so what is shipped has a fixed bound
-however large the benchmark is; hits of several blocks are united.
+``block_words`` words (a longer item is a block of its own), one pass of the documents for each block. Each
+pass but the last is settled and its automaton destroyed before the next begins, so the driver and a task
+hold one automaton at a time however large the benchmark is; hits of several blocks are united.
 
 Defined cases: null or wordless documents have no words and are clean; null or wordless items never
 occur; an item of fewer words than a window is one window; a repeated item id counts once; repeated
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkweave.llm.support import append_columns, small_batches
+from linkweave.llm.support import append_columns, settle, small_batches
 
 #: Lower-cases A-Z and blanks all bytes outside words, which are digits, letters and any byte from 0x80.
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -43,7 +44,7 @@ class Decontam:
     """
 
     window: int = 10
-    block_words: int = 400_000
+    block_words: int = 200_000
     drop_percent: int = 80
 
 
@@ -61,8 +62,8 @@ class Automaton:
     go: list[dict[int, int]] = field(default_factory=lambda: [{}])
     length: list[int] = field(default_factory=lambda: [0])
     link: list[int] = field(default_factory=lambda: [-1])
-    ends: list[set[int]] = field(default_factory=lambda: [set()])
-    whole: list[dict[int, set[int]]] = field(default_factory=lambda: [{}])
+    ends: dict[int, set[int]] = field(default_factory=dict)
+    whole: dict[int, dict[int, set[int]]] = field(default_factory=dict)
     shortest: int = 0
 
     @classmethod
@@ -79,25 +80,25 @@ class Automaton:
             last = self._extend(last, separator)
             for word in item:
                 last = self._extend(last, self.vocabulary.setdefault(word, len(self.vocabulary)))
-                self.ends[last].add(number)
+                self.ends.setdefault(last, set()).add(number)
             if len(item) < window:
                 tails.append((number, last, len(item)))
         # Where an item ends, all states on the suffix path hold it, down to windows' lengths.
         for v in sorted(range(1, len(self.length)), key=lambda v: -self.length[v]):
-            if self.length[self.link[v]] >= window:
-                self.ends[self.link[v]] |= self.ends[v]
+            if self.length[self.link[v]] >= window and v in self.ends:
+                self.ends.setdefault(self.link[v], set()).update(self.ends[v])
         for number, v, size in tails:
             while self.length[self.link[v]] >= size:
                 v = self.link[v]
-            self.whole[v].setdefault(size, set()).add(number)
+            self.whole.setdefault(v, {}).setdefault(size, set()).add(number)
+        # Only windows and whole short items are asked for their owners.
+        self.ends = {v: owners for v, owners in self.ends.items() if self.length[v] >= window}
         return self
 
     def _state(self, go: dict[int, int], length: int, link: int) -> int:
         self.go.append(go)
         self.length.append(length)
         self.link.append(link)
-        self.ends.append(set())
-        self.whole.append({})
         return len(self.go) - 1
 
     def _extend(self, last: int, symbol: int) -> int:
@@ -137,10 +138,10 @@ class Automaton:
                 v = state
                 while length[link[v]] >= self.window:
                     v = link[v]
-                items |= self.ends[v]
-            v = state
+                items |= self.ends.get(v, set())
+            v = state if self.whole else 0
             while v > 0:
-                for n, owners in self.whole[v].items():
+                for n, owners in self.whole.get(v, {}).items():
                     if n <= size:
                         hit[i - n + 1 : i + 1] = True
                         items |= owners
@@ -206,8 +207,11 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(),
             return compute
 
         if number:
-            out = out.withColumnsRenamed({"hit": "__hit", "items": "__items"})
+            # One block's pass ends before the next begins.
+            out = settle(out).withColumnsRenamed({"hit": "__hit", "items": "__items"})
+            before.destroy()
         out = append_columns(out, fields, maker, text_col)
+        before = shipped
         if number:
             out = out.withColumns({"hit": F.array_sort(F.array_union("hit", "__hit")), "items": F.array_sort(F.array_union("items", "__items"))}).drop("__hit", "__items")
     return out
