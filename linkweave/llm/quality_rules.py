@@ -2,7 +2,8 @@
 
 Each rule votes good (1), bad (-1) or abstains (0) on a text's statistics. A label model with one rate of
 bad votes in good and one in bad texts for each rule is fitted by expectation-maximisation on the counts
-of vote patterns, of which there are at most 3**11 whatever the corpus. A text is kept if the posterior
+of vote patterns, of which there are at most 3**11 whatever the corpus. The rates have beta priors whose
+weight is a part of the corpus, so they mean the same at every size, and no bounds. A text is kept if the posterior
 probability of good reaches ``cut``, so one failed rule no longer decides. The base limits (few words,
 repeated 5-word windows) still reject.
 
@@ -27,13 +28,15 @@ WHITE = r"[\x20\x09-\x0D]+"
 
 @dataclass(frozen=True)
 class Rules:
-    """alarms: most bad votes that a rule may cast among good texts; a rate above it is no property of
-    good texts but of bad ones taken for good."""
+    """alarm, detect: prior means of a rule's share of bad votes in good and in bad texts; strength: weight
+    of the first prior in parts of all texts, of which the second has a tenth."""
 
     least_words: int = 10
     repeat_percent: int = 20
     rounds: int = 25
-    alarms: float = 0.01
+    alarm: float = 0.01
+    detect: float = 0.2
+    strength: float = 0.02
     cut: float = 0.5
 
 
@@ -111,7 +114,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         _count(t, "!").alias("n_shouts"),
         _count(t, "|").alias("n_bars"),
         F.size(F.filter("h", lambda x: x.isin(*[F.xxhash64(F.lit(w)) for w in dict.fromkeys(FUNCTION_WORDS)]))).alias("n_function"),
-        F.size(F.filter("w", lambda w: (w == F.upper(w)) & (w != F.lower(w)) & (F.length(w) > 1))).alias("n_capitals"),
+        F.size(F.filter("w", lambda w: ((w < "a") | (w >= "{")) & (w == F.upper(w)) & (w != F.lower(w)) & (F.length(w) > 1))).alias("n_capitals"),
         F.expr("size(filter(h, (x, i) -> i > 0 AND x = h[greatest(i - 1, 0)]))").alias("n_again"),
         F.size(F.array_distinct("h")).alias("n_distinct"),
     )
@@ -122,8 +125,8 @@ def votes() -> Column:
     return F.array(*[F.when(F.expr(bad), -1).when(F.expr(good), 1).otherwise(0) for _, bad, good in RULES])
 
 
-def posteriors(patterns: DataFrame, p: Rules) -> DataFrame:
-    """(votes, posterior) of the distinct vote patterns of (votes, n) rows.
+def _fitted(patterns: DataFrame, p: Rules) -> tuple[DataFrame, str]:
+    """One row of the patterns p and the fitted state s, and the posterior of a pattern q as an expression.
 
     The fit is one fold over the rounds in a single row: the state is the share of good texts and the
     rates of bad votes, among votes, in good (a) and in bad (b) texts.
@@ -143,12 +146,9 @@ def posteriors(patterns: DataFrame, p: Rules) -> DataFrame:
 
     def rates(good: bool) -> str:
         weight = "w[k]" if good else "(1 - w[k])"
-        low, high = ("0.0005D", f"{p.alarms}D") if good else ("0.02D", "0.98D")
-        prior = "0.02D" if good else "0.3D"
-        return (
-            f"transform(sequence(0, {r - 1}), j -> least({high}, greatest({low}, "
-            f"({total(weight, 'p[k].votes[j] = -1')} + {prior}) / ({total(weight, 'p[k].votes[j] <> 0')} + 1D))))"
-        )
+        prior = f"{p.strength if good else p.strength / 10}D * {total('1D', 'true')}"
+        mean = p.alarm if good else p.detect
+        return f"transform(sequence(0, {r - 1}), j -> ({total(weight, 'p[k].votes[j] = -1')} + {mean}D * {prior}) / ({total(weight, 'p[k].votes[j] <> 0')} + {prior}))"
 
     state = (
         "named_struct('pi', least(0.98D, greatest(0.02D, "
@@ -157,9 +157,22 @@ def posteriors(patterns: DataFrame, p: Rules) -> DataFrame:
     step = f"transform(array(transform(p, q -> {post})), w -> {state})[0]"
     start = f"transform(array(transform(p, q -> {first})), w -> {state})[0]"
     fitted = table.where("size(p) > 0").withColumn("s0", F.expr(start)).withColumn("s", F.expr(f"aggregate(sequence(1, {p.rounds}), s0, (s, i) -> {step})"))
+    return fitted, post
+
+
+def posteriors(patterns: DataFrame, p: Rules) -> DataFrame:
+    """(votes, posterior) of the distinct vote patterns of (votes, n) rows."""
+    fitted, post = _fitted(patterns, p)
     return fitted.select("s", F.explode("p").alias("q")).select(F.col("q.votes").alias("votes"), F.expr(post).alias("posterior"))
 
 
+def learned(patterns: DataFrame, p: Rules = Rules()) -> DataFrame:
+    """rule, in_good and in_bad: the share of bad votes among each rule's votes that the label model finds."""
+    names = F.array(*[F.lit(name) for name, _, _ in RULES])
+    zipped = _fitted(patterns, p)[0].select(F.explode(F.arrays_zip(names.alias("rule"), F.col("s.a").alias("a"), F.col("s.b").alias("b"))).alias("x"))
+    return zipped.select(F.col("x.rule").alias("rule"), F.col("x.a").alias("in_good"), F.col("x.b").alias("in_bad"))
+
+
 def judge(docs: DataFrame, p: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and posterior."""
     rows = settle(statistics(docs, id_col, text_col).withColumn("votes", votes()))

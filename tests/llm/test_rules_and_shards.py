@@ -30,17 +30,19 @@ def test_statistics(spark):
         assert r.kept == (not r.base_failed and r.posterior >= 0.5)
 
 
-def em(patterns, rounds=25, alarms=0.01):
+def em(patterns, rounds=25, p=quality_rules.Rules()):
     """The label model in plain Python."""
     import math
 
+    total = sum(patterns.values())
+
     def rates(weight, good):
+        mean, prior = (p.alarm, p.strength * total) if good else (p.detect, p.strength / 10 * total)
         out = []
         for j in range(len(quality_rules.RULES)):
             bad = sum(n * weight[v] for v, n in patterns.items() if v[j] == -1)
             votes = sum(n * weight[v] for v, n in patterns.items() if v[j])
-            low, high, prior = (0.0005, alarms, 0.02) if good else (0.02, 0.98, 0.3)
-            out.append(min(high, max(low, (bad + prior) / (votes + 1))))
+            out.append((bad + mean * prior) / (votes + prior))
         return out
 
     post = {v: (0.95, 0.3)[v.count(-1)] if v.count(-1) < 2 else 0.05 for v in patterns}
@@ -64,6 +66,19 @@ def test_label_model_equals_plain_python(spark):
     assert got.keys() == plain.keys() and all(abs(got[v] - plain[v]) < 1e-6 for v in got)
 
 
+def test_rates_are_learned_and_not_given(spark):
+    """Without labels, the shares of bad votes come near those of labelled texts."""
+    sf = SF.replace("0.001", "0.01")
+    rows = quality_rules.statistics(table(spark, sf, "documents")).withColumn("votes", quality_rules.votes()).cache()
+    found = {r.rule: (r.in_good, r.in_bad) for r in quality_rules.learned(rows.groupBy("votes").count().withColumnRenamed("count", "n")).collect()}
+    known = rows.join(table(spark, sf, "labels"), "doc_id").collect()
+    for j, (name, _, _) in enumerate(quality_rules.RULES):
+        for label, rate in zip((1, 0), found[name], strict=True):
+            cast = [r.votes[j] == -1 for r in known if r.quality == label and r.votes[j]]
+            assert abs(sum(cast) / len(cast) - rate) < (0.02 if label else 0.2), (name, label)
+    assert found["function words"][1] > 0.4 > found["length"][1] and len({round(b, 2) for _, b in found.values()}) > 5
+
+
 def test_rules_on_empty_table_and_no_python(spark):
     assert quality_rules.judge(documents(spark, [])).count() == 0
     plan = quality_rules.statistics(documents(spark))._jdf.queryExecution().executedPlan().toString()
