@@ -1,19 +1,21 @@
 """Toxicity by weak supervision.
 
 Voters are patterns of words: a whole word, or the first bytes of words, that a text has at least k
-times. They come from a public lexicon of insults and from patterns mined in the training rows. A
-generative label model takes each voter to fire with one rate in toxic and another in clean texts,
-and finds the rates and the posterior labels by expectation-maximisation, anchored by the known labels
-as one more, imperfect voter. Voters that fire together are correlated: each counts in the posterior
-by one over the summed similarity to the others, so a family of prefixes counts about once. A linear
-classifier is then trained on the posteriors.
+times. They come from a public lexicon of insults and from patterns mined in the training rows: those whose
+rates in toxic and clean rows are furthest apart in standard errors. A generative label model takes each
+voter to fire with one rate in toxic and another in clean texts, and finds the rates, the voters' correlations
+inside both classes and the posterior labels together by expectation-maximisation, anchored by the known
+labels as one more, imperfect voter. A voter counts in the posterior by one over its summed correlation with
+the others, so a family of prefixes counts about once. A linear classifier is then trained on the posteriors.
 
 Only rows with known labels that are not held out are learned from, at most about ``sample_rows`` of
-them, drawn by a hash of the id; ``mined`` bounds the voters. Scoring is a pass over whole texts.
+them, drawn by a hash of the id; ``mined`` bounds the voters. Voters are counted and ranked in Spark. Scoring is
+a pass over whole texts.
 
 Defined cases: null, empty and wordless texts fire no voter and get the intercept's score; without
 both labels in the training rows every score is the share of toxic ones (0 without any); repeated
-document rows are each scored; of labels that repeat an id, the rounded mean counts.
+document rows are each scored; of labels that repeat an id, the rounded mean counts; of rows that repeat a
+labelled id, the one of the smallest text is learned from.
 """
 
 from __future__ import annotations
@@ -45,15 +47,17 @@ _BREAK[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 @dataclass(frozen=True)
 class Toxicity:
-    """prefixes: bytes of word beginnings; counts: thresholds of voters."""
+    """sample_rows: labelled rows to learn from; mined: most voters; prefixes: bytes of word beginnings;
+    counts: thresholds of voters; support: toxic rows that a voter fires in; again: rounds of the label
+    model between estimates of correlations."""
 
     sample_rows: int = 10_000
-    candidates: int = 20_000
     mined: int = 384
     prefixes: tuple[int, ...] = (4, 5, 6, 7, 8, 9, 10)
     counts: tuple[int, ...] = (1, 2, 3, 5)
     support: int = 8
     rounds: int = 30
+    again: int = 5
     strength: float = 0.02
 
 
@@ -149,18 +153,32 @@ class Model:
         return 1 / (1 + np.exp(-out))
 
 
-def label_model(fires: np.ndarray, known: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def correlations(x: np.ndarray, post: np.ndarray) -> np.ndarray:
+    """Voters' correlations inside the classes, pooled by the posteriors; those below zero count as zero."""
+    pooled = np.zeros((x.shape[1], x.shape[1]))
+    for w in (post, 1 - post):
+        total = w.sum()
+        if total > 0:
+            centred = x - (w @ x) / total
+            pooled += (centred * w[:, None]).T @ centred
+    spread = np.sqrt(np.maximum(np.diag(pooled), 1e-12))
+    out = np.clip(pooled / spread[:, None] / spread[None, :], 0, 1)
+    np.fill_diagonal(out, 1)
+    return out
+
+
+def label_model(fires: np.ndarray, known: np.ndarray, rounds: int, again: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(posterior of toxic, weight by correlation) from a rows x voters matrix and the known labels.
 
-    The known label is a voter whose accuracy is estimated with the others.
+    The known label is a voter whose accuracy is estimated with the others. Rates are estimated in each round
+    and correlations in every ``again``-th.
     """
-    n, m = fires.shape
     x = fires.astype(np.float64)
-    norm = np.sqrt((x * x).sum(0)) + 1e-9
-    alike = (x.T @ x) / norm[:, None] / norm[None, :]
-    share = 1 / np.maximum(1.0, alike.sum(1))
     post = known * 0.95 + 0.025
-    for _ in range(rounds):
+    share = np.ones(x.shape[1])
+    for turn in range(rounds):
+        if turn % again == 0:
+            share = 1 / correlations(x, post).sum(1)
         prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
         rate1 = (x.T @ post + 0.5) / (post.sum() + 1)
         rate0 = (x.T @ (1 - post) + 0.5) / ((1 - post).sum() + 1)
@@ -171,9 +189,10 @@ def label_model(fires: np.ndarray, known: np.ndarray, rounds: int) -> tuple[np.n
         off = np.log((1 - rate1) / (1 - rate0))
         odds = odds + x @ ((on - off) * share) + (off * share).sum()
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        if np.abs(new - post).max() < 1e-6:
-            break
+        done = np.abs(new - post).max() < 1e-6
         post = new
+        if done and turn % again == again - 1:
+            break
     return post, share
 
 
@@ -195,6 +214,26 @@ def linear(x: np.ndarray, y: np.ndarray, strength: float) -> tuple[np.ndarray, f
     return w[:-1], float(w[-1])
 
 
+def _voters(train: DataFrame, n1: float, n0: float, lexicon: np.ndarray, p: Toxicity) -> np.ndarray:
+    """The sorted codes of the voters: at most ``mined``, the lexicon's first, then those of most evidence.
+
+    Evidence is how far a code's rates in toxic and clean rows are apart, in standard errors of a smoothed
+    difference, and is computed for every code of toxic rows; only the chosen codes come to the driver.
+    """
+    codes = lambda y: _firing(train.where(f"y = {y}").select("text"), p, None).select(F.explode("codes").alias("code"))
+    listed = train.sparkSession.createDataFrame([(int(c),) for c in lexicon.view(np.int64)], "code long").withColumn("listed", F.lit(True))
+    support = min(p.support, max(2, int(n1) // 10))
+    found = codes(1).groupBy("code").agg(F.count("*").alias("pos")).join(F.broadcast(listed), "code", "left").where((F.col("pos") >= support) | F.col("listed"))
+    found = settle(found.select("code", "pos", F.coalesce("listed", F.lit(False)).alias("listed")))
+    clean = codes(0).join(found.select("code"), "code", "left_semi").groupBy("code").agg(F.count("*").alias("neg"))
+    counted = found.join(clean, "code", "left").withColumn("neg", F.coalesce("neg", F.lit(0)))
+    r1, r0 = (F.col("pos") + 0.5) / (n1 + 1), (F.col("neg") + 0.5) / (n0 + 1)
+    mean = (F.col("pos") + F.col("neg") + 1) / (n1 + n0 + 2)
+    z = (r1 - r0) / F.sqrt(mean * (1 - mean) * (1 / n1 + 1 / n0))
+    best = counted.withColumn("z", z).where((F.col("z") > 3) | F.col("listed")).orderBy(F.desc("listed"), F.desc("z"), "code").limit(p.mined).select("code").collect()
+    return np.sort(np.array([r["code"] for r in best], dtype=np.int64).view(np.uint64))
+
+
 def fit(docs: DataFrame, labels: DataFrame, p: Toxicity) -> Model:
     spark = docs.sparkSession
     empty = np.zeros(0, dtype=np.uint64)
@@ -203,54 +242,31 @@ def fit(docs: DataFrame, labels: DataFrame, p: Toxicity) -> Model:
     total = known.count()
     if total > p.sample_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < int((1 << 20) * p.sample_rows / total))
-    train = settle(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]))
+    train = settle(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")))
     toxic, rows = (train.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first())
     if not toxic or toxic == rows:
         share = min(max(toxic / max(rows, 1), 1e-6), 1 - 1e-6)
         return Model(empty, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share))))
-    mined = (
-        _firing(train.where("y = 1").select("text"), p, None)
-        .select(F.explode("codes").alias("code"))
-        .groupBy("code")
-        .count()
-        .where(F.col("count") >= min(p.support, max(2, toxic // 10)))
-        .orderBy(F.desc("count"), "code")
-        .limit(p.candidates)
-        .select("code")
-        .collect()
-    )
-    only = np.sort(np.unique(np.concatenate((np.array([r["code"] for r in mined], dtype=np.int64).view(np.uint64), _codes(_lexicon_hashes(), np.full(len(LEXICON), 10), p.counts)))))
-    pos, neg = np.zeros(len(only)), np.zeros(len(only))
-    counted = _firing(train.select("y", "text"), p, only).select("y", F.explode("codes").alias("code")).groupBy("code").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    for r in counted.collect():
-        pos[r["code"]], neg[r["code"]] = r["pos"], r["n"] - r["pos"]
-    n1, n0 = float(toxic), float(rows - toxic)
-    # Strength of evidence: how far the rates are apart, in standard errors of a smoothed difference.
-    r1, r0 = (pos + 0.5) / (n1 + 1), (neg + 0.5) / (n0 + 1)
-    mean = (pos + neg + 1) / (n1 + n0 + 2)
-    z = (r1 - r0) / np.sqrt(mean * (1 - mean) * (1 / n1 + 1 / n0))
-    lexicon = np.isin(only, _codes(_lexicon_hashes(), np.full(len(LEXICON), 10), p.counts)) & (pos + neg > 0)
-    z[lexicon] += 1e6
-    best = np.argsort(-z, kind="stable")[: p.mined]
-    best = np.sort(best[z[best] > 3])
+    lexicon = np.unique(_codes(_lexicon_hashes(), np.full(len(LEXICON), 10), p.counts))
+    only = _voters(train, float(toxic), float(rows - toxic), lexicon, p)
     # Only the chosen voters' firings come to the driver, at most ``mined`` for each sampled row.
-    got = _firing(train.select("y", "text"), p, only[best]).collect()
+    got = _firing(train.select("doc_id", "y", "text"), p, only).orderBy("doc_id").select("y", "codes").collect()
     y = np.array([r["y"] for r in got], dtype=np.float64)
-    fires = np.zeros((len(y), len(best)), dtype=bool)
+    fires = np.zeros((len(y), len(only)), dtype=bool)
     for i, r in enumerate(got):
         fires[i, r["codes"]] = True
-    post, share = label_model(fires, y, p.rounds)
+    post, share = label_model(fires, y, p.rounds, p.again)
     weight, intercept = linear(fires.astype(np.float64), post, p.strength)
     # Codes name a pattern and a threshold; the patterns themselves come from the training rows.
-    patterns = _known_patterns(train, p, only[best])
+    patterns = _known_patterns(train, p, only)
     names = np.sort(np.unique(np.concatenate([patterns, _lexicon_hashes()])))
-    owner = np.full(len(best), -1)
-    level = np.zeros(len(best), dtype=np.int64)
+    owner = np.full(len(only), -1)
+    level = np.zeros(len(only), dtype=np.int64)
     for k in p.counts:
         c = hashing.mix(names + np.uint64(k))
         order = np.argsort(c)
-        where = np.minimum(np.searchsorted(c[order], only[best]), len(c) - 1)
-        good = c[order][where] == only[best]
+        where = np.minimum(np.searchsorted(c[order], only), len(c) - 1)
+        good = c[order][where] == only
         owner[good], level[good] = order[where[good]], k
     good = owner >= 0
     return Model(names, owner[good], level[good], weight[good], intercept)
