@@ -9,7 +9,8 @@ them, drawn by a hash of the id. Scoring is a pass over whole texts.
 
 Defined cases: null, empty and wordless texts have the statistics 0 and are scored; without both labels
 in the training rows every score is the share of label 1 (1 without any row); repeated document rows
-are each scored; of labels that repeat an id, the rounded mean counts.
+are each scored; of labels that repeat an id, the rounded mean counts; of rows that repeat a labelled id,
+the one of the smallest statistics is learned from.
 """
 
 from __future__ import annotations
@@ -229,7 +230,7 @@ def _sampled(labels: DataFrame, p: Quality) -> DataFrame:
 
 def fit(stats: DataFrame, known: DataFrame, p: Quality) -> Forest:
     """The forest for the statistics of the sampled rows known."""
-    rows = stats.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("y", "stats").toPandas()
+    rows = stats.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("stats").alias("stats")).orderBy("doc_id").select("y", "stats").toPandas()
     y = rows["y"].to_numpy(dtype=np.float64)
     if not len(y) or y.min() == y.max():
         share = min(max(float(y.mean()) if len(y) else 1.0, 1e-6), 1 - 1e-6)
