@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.llm import decontaminate, near_dedup, quality, secrets, unigram
-from linkweave.llm.support import shared_folder, table
+from linkweave.llm.support import forget, shared_folder, table
 
-#: Near duplicates in the pipeline share five-word shingles to 80 % or more.
+#: Near duplicates in the pipeline share five-word shingles to 80 % or more, the rule where no contract names others.
 NEAR = near_dedup.NearDedup(words=5, percent=80)
 
 
@@ -66,11 +66,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage's are written as Parquet in the shared folder and read again."""
+    """The last stage's rows; each stage's are written as Parquet in the shared folder and read again.
+
+    A stage's folder goes when the next one's is written; the last stays for the reader of the result.
+    """
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{number}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        if number:
+            forget(spark, f"{folder}/{number - 1}")
         docs = spark.read.parquet(path)
     return docs
