@@ -53,7 +53,7 @@ class NearDedup:
     threshold: int = 20
     cells: int = 1024
     pivots: int = 1
-    block: int = 512
+    block: int = 8192
     hot: int = 1000
     broadcast_rows: int = 400_000
 
