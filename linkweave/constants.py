@@ -29,3 +29,9 @@ INDIC_SCRIPTS = "DEVANAGARI BENGALI GURMUKHI GUJARATI ORIYA TAMIL TELUGU KANNADA
 
 #: Thresholds of the two-source policy sweep.
 POLICY_GRID = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.575, 0.65, 0.75, 0.85)
+
+#: Patterns of what goes from a lower-cased name before its core is taken, in order.
+NAME_NOISE = (
+    r"\b(?:l\W*l\W*c|l\W*l\W*p|p\W*v\W*t)\b",
+    r"https?://|www\.|\.(?:com|in|org|net)\b",
+)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkweave.constants import ABBREVIATIONS, HONORIFICS, LEGAL
+from linkweave.constants import ABBREVIATIONS, HONORIFICS, LEGAL, NAME_NOISE
 
 WORD = r"([\p{L}\p{N}]+)"
 #: What the native fold does not cover: anything above U+024F that is no combining mark of the first block.
@@ -114,8 +114,10 @@ def extended(prepared_records: DataFrame, native_only: bool = True) -> DataFrame
     Spelled-out legal forms (L.L.C., L.L.P., P.V.T.), web decoration, honorifics and long numbers go; the
     order of tokens and their repetitions stay.
     """
-    name = F.regexp_replace(F.lower("business_name"), r"\b(?:l\W*l\W*c|l\W*l\W*p|p\W*v\W*t)\b", " ")
-    name = F.regexp_replace(name, r"https?://|www\.|\.(?:com|in|org|net)\b", " ")
+    name = F.lower("business_name")
+    for pattern in NAME_NOISE:
+        # Letters of all scripts are word characters.
+        name = F.regexp_replace(name, f"(?U){pattern}", " ")
     kept = F.filter(norm_tokens(name, native_only), lambda t: ~t.isin(*LEGAL, *HONORIFICS) & ~t.rlike(r"^\p{Nd}{7,}$"))
     return prepared_records.withColumn("__e", kept).withColumns(
         {
@@ -134,3 +136,8 @@ _PLAIN_WORD = re.compile(r"[^\W_]+")
 def norm_string(s: str) -> str:
     """norm of one string; for driver-side values and tests."""
     return " ".join(ABBREVIATIONS.get(t, t) for t in _PLAIN_WORD.findall(fold_string(s).replace("&", " and ")))
+
+
+def first_words(c: Column, k: int) -> Column:
+    """The beginning of a string that holds its first k words, marks on them included; the rest isn't read."""
+    return F.regexp_extract(c, rf"^(?:[^\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\p{{M}}]*+){{0,{k}}}+", 0)

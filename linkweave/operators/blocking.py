@@ -1,8 +1,10 @@
 """Blocking keys, capped key joins, votes and rankings.
 
 A record's keys are one array expression, exploded once. Blocks over the cap are removed by a count
-before the join, so an over-frequent key never produces pairs; that also bounds skew, as no key has
-more than ``cap`` targets. Keys start with the country, so pairs never cross countries.
+before the join, so an over-frequent key never produces pairs. Over-frequent keys are few, so what is joined
+away is their list, which Spark broadcasts while it is small, and their postings aren't shuffled; after that
+no key has more than ``cap`` targets. A key that many queries share is split by the adaptive skew join. Keys
+start with the country, so pairs never cross countries.
 """
 
 from __future__ import annotations
@@ -110,8 +112,8 @@ def postings(records: DataFrame, keys: Column, id_name: str) -> DataFrame:
 
 def capped(targets: DataFrame, cap: int) -> DataFrame:
     """Postings of the keys that have at most cap targets; counted by key before anything is joined."""
-    few = targets.groupBy("key").agg(F.count("*").alias("block")).where(F.col("block") <= cap)
-    return targets.join(few, "key").drop("block")
+    over = targets.groupBy("key").agg(F.count("*").alias("block")).where(F.col("block") > cap).select("key")
+    return targets.join(over, "key", "left_anti")
 
 
 def votes(queries: DataFrame, targets: DataFrame, cap: int) -> DataFrame:

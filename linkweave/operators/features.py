@@ -94,6 +94,22 @@ def sided(records: DataFrame, side: str) -> DataFrame:
     return records.select(*[F.col(c).alias(f"{side}_{c}") for c in records.columns])
 
 
+def spread(pairs: DataFrame) -> DataFrame:
+    """pairs dealt over all cores: they are small in bytes, so they would be coalesced, but long to score."""
+    spark = pairs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return pairs.repartition(parts, "q", "t")
+
+
+def known(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """pairs, if all their ids are records; else an error."""
+    for side, rows in (("q", left), ("t", right)):
+        missing = pairs.select(F.col(side).alias("entity_id")).join(rows.select("entity_id"), "entity_id", "left_anti").first()
+        if missing is not None:
+            raise KeyError(missing["entity_id"])
+    return pairs
+
+
 def pair_records(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """pairs (q, t) joined with both records' forms; left columns are l_, right ones r_."""
     return pairs.join(sided(left, "l"), F.col("q") == F.col("l_entity_id")).join(sided(right, "r"), F.col("t") == F.col("r_entity_id"))

@@ -59,7 +59,11 @@ RECORDS = {
 def prelude(adapter: str = "documents") -> str:
     """WITH rec, prep, keyed and posted tables of an adapter."""
     core = _without("nl", LEGAL)
-    raw = "regexp_replace(regexp_replace(lower(business_name), '\\b(?:l\\W*l\\W*c|l\\W*l\\W*p|p\\W*v\\W*t)\\b', ' ', 'g'), 'https?://|www\\.|\\.(?:com|in|org|net)\\b', ' ', 'g')"
+    raw = "lower(business_name)"
+    # This engine's word boundaries are of ASCII alone; neighbours share a separator, so each pattern runs twice.
+    w = "[^\\p{L}\\p{N}_]"
+    for pattern, by in ((f"(^|{w})(?:l{w}*l{w}*c|l{w}*l{w}*p|p{w}*v{w}*t)($|{w})", "\\1 \\2"), (f"()(?:https?://|www\\.)()", "\\1 \\2"), (f"()\\.(?:com|in|org|net)($|{w})", "\\1 \\2")):
+        raw = f"regexp_replace(regexp_replace({raw}, '{pattern}', '{by}', 'g'), '{pattern}', '{by}', 'g')"
     kept = f"list_filter({_norm(raw)}, lambda t: NOT list_contains({_list([*LEGAL, *HONORIFICS])}, t) AND NOT regexp_matches(t, '^\\p{{Nd}}{{7,}}$'))"
     letters = "list_filter(adt, lambda t: regexp_matches(t, '^\\p{L}+$') AND length(t) >= 4)"
     kinds = [
@@ -105,13 +109,14 @@ def _prep_of(adapter: str, columns: str) -> str:
 
 
 TRUTH = f"""truth_words AS (SELECT doc_id, lang, md5({_text(_tokens(_fold('text')))}) AS h FROM documents),
-truth AS (SELECT 'S' || (a.doc_id % 3 + 1) || '-' || a.doc_id AS q, 'S' || (b.doc_id % 3 + 1) || '-' || b.doc_id AS t FROM truth_words a JOIN truth_words b ON a.lang = b.lang AND a.h = b.h WHERE a.doc_id % 3 = 0 AND b.doc_id % 3 <> 0)"""
-
-#: Synthetic scores: pairs of documents of one language and one first word, scored by arithmetic of ids.
-PREDICTED = f"""heads AS (SELECT doc_id, lang, {_tokens(_fold('text'))}[1] AS w FROM documents WHERE len({_tokens(_fold('text'))}) > 0),
-pred AS (
-  SELECT 'S' || (a.doc_id % 3 + 1) || '-' || a.doc_id AS q, 'S' || (b.doc_id % 3 + 1) || '-' || b.doc_id AS t, ((a.doc_id * 37 + b.doc_id * 11) % 100) / 100.0 AS p0
-  FROM heads a JOIN heads b ON a.lang = b.lang AND a.w = b.w WHERE a.doc_id % 3 = 0 AND b.doc_id % 3 <> 0),
+truth_ids AS (SELECT a.doc_id AS x, b.doc_id AS y FROM (SELECT lang, h, min(doc_id) AS doc_id FROM truth_words WHERE doc_id % 3 = 0 GROUP BY 1, 2) a JOIN truth_words b ON a.lang = b.lang AND a.h = b.h WHERE b.doc_id % 3 <> 0),
+truth AS (SELECT 'S' || (x % 3 + 1) || '-' || x AS q, 'S' || (y % 3 + 1) || '-' || y AS t FROM truth_ids)"""
+
+#: Synthetic scores by arithmetic of ids: of each reference's next targets of its language, and of three quarters of the truth.
+PREDICTED = f"""pred_ids AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM documents a, unnest([1, 2, 4, 5, 7, 8]) AS u(d) JOIN documents b ON b.doc_id = a.doc_id + u.d AND a.lang = b.lang WHERE a.doc_id % 3 = 0
+  UNION SELECT x, y FROM truth_ids WHERE (x + y) % 4 <> 0),
+pred AS (SELECT 'S' || (x % 3 + 1) || '-' || x AS q, 'S' || (y % 3 + 1) || '-' || y AS t, ((x * 37 + y * 11) % 100) / 100.0 AS p0 FROM pred_ids),
 scored AS (SELECT q, t, CASE WHEN (q, t) IN (SELECT q, t FROM truth) THEN 0.5 + p0 / 2 ELSE p0 END AS p FROM pred),
 ents AS (SELECT DISTINCT 'S' || (doc_id % 3 + 1) || '-' || doc_id AS q, lang AS country FROM documents WHERE doc_id % 3 = 0)"""
 
@@ -210,8 +215,8 @@ f2 AS (SELECT *, list_filter(list_transform(list_transform(rl, lambda t: {_phone
 forms AS (SELECT *, {_text('rl')} AS rn, {_text('pt')} AS pn, {_text('pt', '')} AS pc FROM f2)"""
 
 _SHORT_PAIRS = f"""{prelude('parts')},
-near AS (SELECT DISTINCT n AS x FROM prep),
-named AS (SELECT a.x AS x, b.x AS y FROM near a JOIN near b ON substr(a.x, 1, 1) = substr(b.x, 1, 1))"""
+near AS (SELECT n, CAST(split_part(entity_id, '-', 2) AS BIGINT) AS k FROM prep),
+named AS (SELECT DISTINCT a.n AS x, b.n AS y FROM near a, unnest(range(1, 9)) AS u(d) JOIN near b ON b.k = a.k + u.d)"""
 
 _SORTED = "array_to_string(list_sort(string_split({c}, ' ')), ' ')"
 

@@ -39,6 +39,11 @@ def _pairs(spark: SparkSession, sf: str, adapter: str = "documents", cap: int =
     return features.pair_records(blocking.candidates(left, right, _keys(), cap, most), left, right)
 
 
+def _scoring(spark: SparkSession, sf: str, adapter: str = "documents", cap: int = 100, most: int = 240) -> DataFrame:
+    """_pairs for fuzzy scores, on all cores."""
+    return features.spread(_pairs(spark, sf, adapter, cap, most))
+
+
 def _r(c: Column, digits: int = 9) -> Column:
     return F.round(c, digits)
 
@@ -47,6 +52,10 @@ def _rounded(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return df.withColumns({n: _r(F.col(n)) for n in names})
 
 
+def _number(c: str) -> Column:
+    return F.split(c, "-")[1].cast("long")
+
+
 SUMMARY = ("macro_f05", "low", "high", "micro_precision", "micro_recall")
 
 
@@ -128,9 +137,10 @@ def weighted_overlap(spark, sf):
 
 
 def _name_pairs(spark, sf):
-    """Pairs of the distinct part names that begin alike; part names come from a short fixed list of words."""
-    names = _prep(spark, sf, "parts").select(F.col("n").alias("x")).distinct().withColumn("i", F.substring("x", 1, 1))
-    return names.join(names.withColumnRenamed("x", "y"), "i").select("x", "y")
+    """Distinct pairs of the names of parts whose keys are near each other."""
+    names = _prep(spark, sf, "parts").select("n", F.split("entity_id", "-")[1].cast("long").alias("k"))
+    ahead = names.select(F.col("n").alias("x"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda d: F.col("k") + d)).alias("k"))
+    return features.spread(ahead.join(names.withColumnRenamed("n", "y"), "k").select("x", "y").distinct().select(F.col("x").alias("q"), F.col("y").alias("t"))).select(F.col("q").alias("x"), F.col("t").alias("y"))
 
 
 def _fuzzy(kind: str) -> Query:
@@ -141,20 +151,25 @@ def _fuzzy(kind: str) -> Query:
 
 
 def cheap_filter(spark, sf):
-    return features.cheap_scores(_pairs(spark, sf)).select("q", "t", _r(F.col("ns"), 6).alias("ns"), _r(F.col("ads"), 6).alias("ads"), "kept")
+    return features.cheap_scores(_scoring(spark, sf)).select("q", "t", _r(F.col("ns"), 6).alias("ns"), _r(F.col("ads"), 6).alias("ads"), "kept")
 
 
 def _scored(spark, sf):
-    """Truth, entities with their country, and pairs with a score made of ids, so results need no model."""
-    truth = adapters.truth(spark, sf)
-    words = text.tokens(text.fold(F.col("text"), native_only=True))
-    heads = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", words.alias("w")).where(F.size("w") > 0).select("doc_id", "lang", F.col("w")[0].alias("w"))
-    ident = F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("-"), F.col("doc_id").cast("string"))
-    side = lambda n, ok: heads.where(ok).select(ident.alias(n), F.col("doc_id").alias(f"{n}_id"), "lang", "w")
-    first = F.col("doc_id") % 3 == 0
-    pairs = side("q", first).join(side("t", ~first), ["lang", "w"]).select("q", "t", (((F.col("q_id") * 37 + F.col("t_id") * 11) % 100) / F.lit(100.0)).alias("p0"))
+    """Truth, entities with their country, and pairs with a score made of ids, so results need no model.
+
+    A reference is paired with its next targets by id, if they have its language, and with most of its truth.
+    """
+    truth = adapters.truth(spark, sf).withColumns({"x": _number("q"), "y": _number("t")})
+    ids = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    ident = lambda c: F.concat(F.lit("S"), (F.col(c) % 3 + 1).cast("string"), F.lit("-"), F.col(c).cast("string"))
+    refs = ids.where(F.col("doc_id") % 3 == 0)
+    ahead = refs.select(F.col("doc_id").alias("x"), "lang", F.explode(F.array(*[F.col("doc_id") + d for d in (1, 2, 4, 5, 7, 8)])).alias("y"))
+    near = ahead.join(ids.withColumnRenamed("doc_id", "y"), ["y", "lang"]).select("x", "y")
+    pairs = near.union(truth.where((F.col("x") + F.col("y")) % 4 != 0).select("x", "y")).distinct()
+    pairs = pairs.select(ident("x").alias("q"), ident("y").alias("t"), (((F.col("x") * 37 + F.col("y") * 11) % 100) / F.lit(100.0)).alias("p0"))
     p = F.when(F.col("label"), 0.5 + F.col("p0") / 2).otherwise(F.col("p0"))
-    entities = spark.read.parquet(f"{sf}/documents.parquet").where(first).select(ident.alias("q"), F.col("lang").alias("country")).distinct()
+    entities = refs.select(ident("doc_id").alias("q"), F.col("lang").alias("country")).distinct()
+    truth = truth.select("q", "t")
     return truth, entities, cascade.label(pairs, truth).select("q", "t", p.alias("p"), "label")
 
 
@@ -212,10 +227,6 @@ def source_thresholds(spark, sf):
     return cascade.accept_by_source(_scored(spark, sf)[2]).select("q", "t", "p")
 
 
-def _number(c: str) -> Column:
-    return F.split(c, "-")[1].cast("long")
-
-
 def gate_select(spark, sf):
     _, entities, scored = _scored(spark, sf)
     native = scored.select(F.col("t").alias("entity_id")).distinct().where(_number("entity_id") % 5 == 0)
@@ -320,7 +331,7 @@ def seed_expansion(spark, sf):
 
 
 def feature_vector_50(spark, sf):
-    df, names = features.base_features(_pairs(spark, sf))
+    df, names = features.base_features(_scoring(spark, sf))
     return df.select("q", "t", *[_r(F.col(n), 6).alias(n) for n in names])
 
 
@@ -332,7 +343,7 @@ def feature_vector_154(spark, sf):
     rows = phonetic.forms(everyone, native_only=True).join(weights("nt", "n"), "entity_id", "left").join(weights("at", "a"), "entity_id", "left").withColumns({c: F.coalesce(c, none) for c in ("wn", "wa")})
     left, right = _sides(rows)
     pool = blocking.candidates(left, right, _keys(), 350, 500).select("q", "t", "votes")
-    kept = features.cheap_scores(features.pair_records(pool, left, right)).where("kept").drop("ns", "ads", "kept")
+    kept = features.cheap_scores(features.spread(features.pair_records(pool, left, right))).where("kept").drop("ns", "ads", "kept")
     near = blocking.neighbours(left, _keys(), _name_jaccard(left, left), 500, 120, 8)
     df, order = features.base_features(kept)
     df, order = features.context_features(df, order, freq, features.rivals(kept, near, left, right))
@@ -348,7 +359,7 @@ def phonetic_candidates(spark, sf):
 
 def gbt_predict(spark, sf):
     """Boosted trees fitted on one part of the references and applied to the pairs of the others."""
-    df, names = features.base_features(_pairs(spark, sf))
+    df, names = features.base_features(_scoring(spark, sf))
     pairs = cascade.label(df, adapters.truth(spark, sf)).select("q", "t", "label", *names)
     some = _number("q") % 5 != 0
     fitted = model.fit(pairs.where(some), names, trees=10, depth=4)
@@ -356,11 +367,12 @@ def gbt_predict(spark, sf):
 
 
 def cascade_end_to_end(spark, sf):
-    """Result lists of all references: block, filter, features, model, threshold."""
-    df, names = features.base_features(features.cheap_scores(_pairs(spark, sf)).where("kept").drop("ns", "ads", "kept"))
+    """Result lists of the references that the model has not seen: block, filter, features, model, threshold."""
+    df, names = features.base_features(features.cheap_scores(_scoring(spark, sf)).where("kept").drop("ns", "ads", "kept"))
     pairs = cascade.label(df, adapters.truth(spark, sf)).select("q", "t", "label", *names)
-    scored = model.predict(model.fit(pairs, names, trees=10, depth=4), pairs, names)
-    refs = adapters.documents(spark, sf).where("source = 'S1'").select(F.col("entity_id").alias("q"))
+    some = _number("q") % 5 != 0
+    scored = model.predict(model.fit(pairs.where(some), names, trees=10, depth=4), pairs.where(~some), names)
+    refs = adapters.documents(spark, sf).where("source = 'S1'").select(F.col("entity_id").alias("q")).where(~some)
     return cascade.result_lists(refs, scored, cascade.accept_by_source(scored))
 
 
