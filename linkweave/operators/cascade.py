@@ -66,6 +66,24 @@ def output_stats(lists: DataFrame) -> DataFrame:
     return lists.agg(F.count("*").alias("entities"), F.sum(n("candidates")).alias("candidates"), F.sum(n("matches")).alias("matches"), F.count_if(F.col("matches") == "").alias("singletons"))
 
 
+def correction_stats(entities: DataFrame, old: DataFrame, new: DataFrame, gated: DataFrame) -> DataFrame:
+    """What a correction of the gated entities changes: reprocessed entities, matches removed and added, entities
+    that lose or get their first match, and the matches that result."""
+    merged = override(entities, old, new, gated)
+    chosen = entities.select("q").join(gated.select("q").distinct(), "q", "left_semi")
+    count = lambda pairs, name: pairs.select("q", "t").distinct().groupBy("q").agg(F.collect_set("t").alias(name))
+    rows = entities.select("q").join(count(old, "o"), "q", "left").join(count(merged, "m"), "q", "left").join(chosen.withColumn("g", F.lit(True)), "q", "left")
+    none = F.array().cast("array<string>")
+    rows = rows.select("g", F.coalesce("o", none).alias("o"), F.coalesce("m", none).alias("m"))
+    return rows.agg(
+        F.count("*").alias("entities"), F.count_if("g").alias("reprocessed"),
+        F.count_if((F.size(F.array_except("o", "m")) > 0) | (F.size(F.array_except("m", "o")) > 0)).alias("corrected"),
+        F.sum(F.size(F.array_except("o", "m"))).alias("removed"), F.sum(F.size(F.array_except("m", "o"))).alias("added"),
+        F.count_if((F.size("o") == 0) & (F.size("m") > 0)).alias("new_nonempty"), F.count_if((F.size("o") > 0) & (F.size("m") == 0)).alias("new_empty"),
+        F.sum(F.size("m")).alias("matches"),
+    )
+
+
 def require_gain(report: DataFrame) -> None:
     """Stops unless a paired improvement is positive with its whole interval."""
     row = report.first()

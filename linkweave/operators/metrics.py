@@ -119,9 +119,15 @@ def inventory(records: DataFrame) -> DataFrame:
 
 
 def truth_inventory(entities: DataFrame, truth: DataFrame) -> DataFrame:
-    """References, those without a match, and positive links."""
+    """References, those without a match and their share (the score of predicting nothing), and positive links."""
     n = truth.groupBy("q").agg(F.count_distinct("t").alias("n"))
-    return entities.select("q").join(n, "q", "left").agg(F.count("*").alias("n_refs"), F.count_if(F.col("n").isNull()).alias("singletons"), F.coalesce(F.sum("n"), F.lit(0)).alias("links"))
+    return entities.select("q").join(n, "q", "left").agg(F.count("*").alias("n_refs"), F.count_if(F.col("n").isNull()).alias("singletons"), (F.count_if(F.col("n").isNull()) / F.greatest(F.lit(1), F.count("*"))).alias("empty_share"), F.coalesce(F.sum("n"), F.lit(0)).alias("links"))
+
+
+def error_kinds(pairs: DataFrame) -> DataFrame:
+    """The pairs that are accepted without label (kind fp) or labelled and not accepted (fn)."""
+    kind = F.when(F.col("accepted") & ~F.col("label"), "fp").when(~F.col("accepted") & F.col("label"), "fn")
+    return pairs.withColumn("kind", kind).where("kind IS NOT NULL")
 
 
 def error_analysis(pairs: DataFrame) -> DataFrame:
@@ -130,8 +136,7 @@ def error_analysis(pairs: DataFrame) -> DataFrame:
     pairs has label, accepted (booleans), name, addr (scores), missing (target address) and only_l, only_r
     (numbers of one side only).
     """
-    kind = F.when(F.col("accepted") & ~F.col("label"), "fp").when(~F.col("accepted") & F.col("label"), "fn")
-    return pairs.withColumn("kind", kind).where("kind IS NOT NULL").groupBy("kind").agg(
+    return error_kinds(pairs).groupBy("kind").agg(
         F.count("*").alias("n"),
         F.count_if(F.col("missing")).alias("missing_address"),
         F.count_if(F.col("name") >= 0.9).alias("name_high"),

@@ -175,6 +175,86 @@ dp AS (
 lcs_of AS (SELECT x, y, row[length(y) + 1] AS l FROM dp WHERE i = length(x))"""
 
 
+def _bits(pairs: str) -> str:
+    """CTEs over (x, y) of ``pairs`` that give lcs_of(x, y, l), a bit of an integer for each letter of x; for many pairs."""
+    mask = "list_sum(list_transform(range(length(x)), lambda i: CASE WHEN substr(x, i + 1, 1) = c THEN CAST(1 AS HUGEINT) << CAST(i AS HUGEINT) ELSE CAST(0 AS HUGEINT) END))"
+    return f""",
+uniq AS (SELECT DISTINCT x, y FROM {pairs}),
+tables AS (SELECT x, map_from_entries(list_transform(list_distinct(string_split(x, '')), lambda c: {{'k': c, 'v': CAST({mask} AS HUGEINT)}})) AS m, (CAST(1 AS HUGEINT) << CAST(length(x) AS HUGEINT)) - 1 AS whole FROM (SELECT DISTINCT x FROM uniq WHERE x <> '')),
+lcs_of AS (
+  SELECT uniq.x, y, CASE WHEN uniq.x = '' OR y = '' THEN 0 ELSE length(uniq.x) - bit_count(list_reduce(list_transform(string_split(y, ''), lambda c: coalesce(m[c], CAST(0 AS HUGEINT))), lambda acc, k: ((acc + (acc & k)) | (acc - (acc & k))) & whole, whole)) END AS l
+  FROM uniq LEFT JOIN tables ON tables.x = uniq.x)"""
+
+
+def _all_fuzzy(pairs: str) -> str:
+    """CTEs that give fz(x, y, ratio, partial, token_sort, token_set, weighted) of (x, y) of ``pairs``."""
+    split = lambda c: f"list_filter(string_split({c}, ' '), lambda v: v <> '')"
+    only = lambda a, b: f"list_sort(list_distinct(list_filter({a}, lambda v: NOT list_contains({b}, v))))"
+    part = lambda a, b: f"list_transform(range(1 - length({a}), length({b})), lambda i: substr({b}, greatest(i, 0) + 1, least(i + length({a}), length({b})) - greatest(i, 0)))"
+    r = lambda t, a, b: f"CASE WHEN length({a}) + length({b}) = 0 THEN 1.0 ELSE 2.0 * {t}.l / (length({a}) + length({b})) END"
+    return f""",
+fz1 AS (SELECT x, y, {split('x')} AS xt, {split('y')} AS yt FROM (SELECT DISTINCT x, y FROM {pairs})),
+fz2 AS (SELECT *, {_text('list_sort(xt)')} AS xs, {_text('list_sort(yt)')} AS ys, list_sort(list_distinct(list_intersect(xt, yt))) AS b, {only('xt', 'yt')} AS lo, {only('yt', 'xt')} AS ro FROM fz1),
+fz3 AS (SELECT *, {_text('b')} AS bs, {_text('b || lo')} AS ls, {_text('b || ro')} AS rs, {_text('lo')} AS lt, {_text('ro')} AS rt FROM fz2),
+pin AS (SELECT x, y FROM fz3 UNION SELECT xs, ys FROM fz3 UNION SELECT lt, rt FROM fz3),
+turned AS (SELECT x, y, x AS a, y AS b FROM pin WHERE x <> '' AND y <> '' AND length(x) <= length(y) UNION SELECT x, y, y, x FROM pin WHERE x <> '' AND y <> '' AND length(y) <= length(x)),
+cuts AS (SELECT a, b, unnest({part('a', 'b')}) AS w FROM (SELECT DISTINCT a, b FROM turned)),
+need AS (SELECT a AS x, w AS y FROM cuts UNION SELECT x, y FROM fz3 UNION SELECT xs, ys FROM fz3 UNION SELECT ls, rs FROM fz3 UNION SELECT bs, ls FROM fz3 UNION SELECT bs, rs FROM fz3){_bits('need')},
+best AS (SELECT a, b, max(2.0 * l / (length(a) + length(w))) AS p FROM cuts JOIN lcs_of ON x = a AND y = w GROUP BY 1, 2),
+par AS (SELECT pin.x, pin.y, coalesce(max(p), CASE WHEN pin.x = pin.y THEN 1.0 ELSE 0.0 END) AS p FROM pin LEFT JOIN turned USING (x, y) LEFT JOIN best ON best.a = turned.a AND best.b = turned.b GROUP BY pin.x, pin.y),
+fz4 AS (SELECT f.*, {r('l1', 'f.x', 'f.y')} AS ratio, p1.p AS partial, {r('l2', 'f.xs', 'f.ys')} AS token_sort,
+  CASE WHEN len(xt) = 0 OR len(yt) = 0 THEN 0.0 WHEN len(f.b) > 0 AND (len(lo) = 0 OR len(ro) = 0) THEN 1.0
+    ELSE greatest({r('l3', 'f.ls', 'f.rs')}, CASE WHEN len(f.b) > 0 THEN greatest({r('l4', 'f.bs', 'f.ls')}, {r('l5', 'f.bs', 'f.rs')}) ELSE 0.0 END) END AS token_set,
+  CASE WHEN len(f.b) > 0 THEN 1.0 ELSE greatest(p2.p, p3.p) END AS ptok
+  FROM fz3 f JOIN lcs_of l1 ON l1.x = f.x AND l1.y = f.y JOIN lcs_of l2 ON l2.x = f.xs AND l2.y = f.ys JOIN lcs_of l3 ON l3.x = f.ls AND l3.y = f.rs
+  JOIN lcs_of l4 ON l4.x = f.bs AND l4.y = f.ls JOIN lcs_of l5 ON l5.x = f.bs AND l5.y = f.rs
+  JOIN par p1 ON p1.x = f.x AND p1.y = f.y JOIN par p2 ON p2.x = f.xs AND p2.y = f.ys JOIN par p3 ON p3.x = f.lt AND p3.y = f.rt),
+fz5 AS (SELECT *, greatest(length(x), length(y)) / greatest(1, least(length(x), length(y))) AS longer FROM fz4),
+fz AS (SELECT x, y, ratio, partial, token_sort, token_set, CASE WHEN x = '' OR y = '' THEN 0.0 WHEN longer < 1.5 THEN greatest(ratio, 0.95 * greatest(token_sort, token_set))
+  ELSE greatest(ratio, CASE WHEN longer <= 8 THEN 0.9 ELSE 0.6 END * partial, 0.95 * CASE WHEN longer <= 8 THEN 0.9 ELSE 0.6 END * ptok) END AS weighted FROM fz5)"""
+
+
+def _base_features(adapter: str, cap: int, most: int) -> str:
+    """All base features of an adapter's candidates."""
+    fields = {"name": ("ln", "rn"), "core_name": ("lc", "rc"), "address": ("la", "ra")}
+    columns, joins = [], []
+    for k, (x, y) in fields.items():
+        columns += [f"round({k}.{s}, 6) AS f_{k}_{s}" for s in ("ratio", "partial", "token_sort", "token_set", "weighted")]
+        columns += [f"CASE WHEN {x} <> '' AND {x} = {y} THEN 1.0 ELSE 0.0 END AS f_{k}_exact", f"round(least(length({x}), length({y})) / greatest(1, length({x}), length({y})), 6) AS f_{k}_length"]
+        joins.append(f"JOIN fz {k} ON {k}.x = {x} AND {k}.y = {y}")
+    for k, c in (("name_tokens", "nt"), ("address_tokens", "at"), ("numbers", "nums")):
+        columns.append(_overlap(f"l{c}", f"r{c}", f"f_{k}").replace(", 9)", ", 6)"))
+    columns += [f"CAST(len({s}{c}) AS DOUBLE) AS f_{c}_{s}" for c in ("nt", "at", "nums") for s in "lr"]
+    both = "len(list_intersect(lnums, rnums))"
+    columns += [f"CAST(len(lnums) - {both} AS DOUBLE) AS f_nums_only_l", f"CAST(len(rnums) - {both} AS DOUBLE) AS f_nums_only_r", "CASE WHEN lco = rco THEN 1.0 ELSE 0.0 END AS f_same_country"]
+    columns += [f"CASE WHEN {s}{c} = '' THEN 1.0 ELSE 0.0 END AS f_missing_{s}_{c}" for c in ("n", "a") for s in "lr"]
+    columns += [f"round(coalesce({s}.{m}, 0.0), 6) AS f_align_{s}_{m}" for s in ("lr", "rl") for m in ("least", "mean")]
+    align = lambda a, b: f"""(SELECT q, t, min(s) AS least, avg(s) AS mean FROM (
+    SELECT q, t, u.w, max(coalesce(tr.ratio, 0.0)) AS s FROM duo, unnest({a}) AS u(w) LEFT JOIN tr ON tr.q2 = q AND tr.t2 = t AND tr.side = '{a}' AND tr.x = u.w GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+    return (
+        prelude(adapter)
+        + _candidates(cap, most)
+        + f""",
+duo AS (SELECT q, t, x.n AS ln, y.n AS rn, {_text('x.nt')} AS lc, {_text('y.nt')} AS rc, x.a AS la, y.a AS ra, x.nt AS lnt, y.nt AS rnt, x.adt AS lat, y.adt AS rat, x.nums AS lnums, y.nums AS rnums, x.c AS lco, y.c AS rco
+  FROM cand JOIN prep x ON x.entity_id = q JOIN prep y ON y.entity_id = t),
+tok AS (SELECT q, t, u.w AS x, v.w AS y FROM duo, unnest(lnt) AS u(w), unnest(rnt) AS v(w)),
+strings AS (SELECT ln AS x, rn AS y FROM duo UNION SELECT lc, rc FROM duo UNION SELECT la, ra FROM duo UNION SELECT x, y FROM tok){_all_fuzzy('strings')},
+tr AS (SELECT tok.q AS q2, tok.t AS t2, 'lnt' AS side, tok.x AS x, max(ratio) AS ratio FROM tok JOIN fz USING (x, y) GROUP BY 1, 2, 3, 4 UNION ALL SELECT tok.q, tok.t, 'rnt', tok.y, max(ratio) FROM tok JOIN fz USING (x, y) GROUP BY 1, 2, 3, 4)
+SELECT duo.q, duo.t, {', '.join(columns)} FROM duo {' '.join(joins)} LEFT JOIN {align('lnt', 'rnt')} lr ON lr.q = duo.q AND lr.t = duo.t LEFT JOIN {align('rnt', 'lnt')} rl ON rl.q = duo.q AND rl.t = duo.t"""
+    )
+
+
+def _similarity(adapter: str, cap: int, most: int) -> str:
+    combined = "0.45 * n.ratio + 0.45 * a.token_set + 0.10 * len(list_intersect(x.nums, y.nums)) / greatest(1, len(list_distinct(x.nums || y.nums)))"
+    return (
+        prelude(adapter)
+        + _candidates(cap, most)
+        + f""", strings AS (SELECT x.compact AS x, y.compact AS y FROM cand JOIN prep x ON x.entity_id = q JOIN prep y ON y.entity_id = t UNION SELECT x.a, y.a FROM cand JOIN prep x ON x.entity_id = q JOIN prep y ON y.entity_id = t){_all_fuzzy('strings')}
+SELECT q, t, round(n.ratio, 9) AS name_sim, round(a.token_set, 9) AS addr_sim, round({combined}, 9) AS combined
+FROM cand JOIN prep x ON x.entity_id = cand.q JOIN prep y ON y.entity_id = cand.t JOIN fz n ON n.x = x.compact AND n.y = y.compact JOIN fz a ON a.x = x.a AND a.y = y.a"""
+    )
+
+
 def _sweep(thresholds: list[float]) -> str:
     parts = [f"SELECT CAST({t!r} AS DOUBLE) AS tau, round(avg(score), 9) AS macro_f05 FROM ({_each(f's.p >= {t!r}')})" for t in thresholds]
     return _WITH_PRED + " " + " UNION ALL ".join(parts)
@@ -214,6 +294,19 @@ f1 AS (SELECT *, list_filter({_tokens(_fold('business_name'))}, lambda t: NOT li
 f2 AS (SELECT *, list_filter(list_transform(list_transform(rl, lambda t: {_phonetic('t')}), lambda t: {_squeeze('t')}), lambda t: NOT list_contains({_P_DROP}, t)) AS pt FROM f1),
 forms AS (SELECT *, {_text('rl')} AS rn, {_text('pt')} AS pn, {_text('pt', '')} AS pc FROM f2)"""
 
+def _phonetic_candidates(cap: int, most: int) -> str:
+    """Candidates by the phonetic keys alone."""
+    kinds = [
+        ("pn", "[pc]"), ("ps", "[" + _text("list_sort(pt)", "") + "]"), ("pt", "list_filter(toks, lambda t: length(t) >= 3)"), ("pp", _pairs("toks", 4, "|")),
+        ("pf", "[CASE WHEN length(pc) >= 8 THEN substr(pc, 1, 8) ELSE '' END]"), ("pl", "[CASE WHEN length(pc) >= 8 THEN right(pc, 8) ELSE '' END]"), ("ap", _pairs("far", 64, "|")),
+    ]
+    made = " || ".join(f"list_transform(list_filter({v}, lambda v: v <> ''), lambda v: c || '|v4|{k}|' || v)" for k, v in kinds)
+    far = "list_distinct(list_filter(string_split(ra, ' '), lambda t: regexp_matches(t, '^\\p{L}+$') AND length(t) >= 5))"
+    return f"""{_FORMS},
+f3 AS (SELECT *, {_text(_norm('country'))} AS c, {_longest('list_distinct(pt)', 5)} AS toks, {_longest(far, 4)} AS far FROM forms),
+post AS (SELECT entity_id, source, unnest(list_distinct({made})) AS key FROM f3){_candidates(cap, most)} SELECT q, t, votes, rank FROM cand"""
+
+
 _SHORT_PAIRS = f"""{prelude('parts')},
 near AS (SELECT n, CAST(split_part(entity_id, '-', 2) AS BIGINT) AS k FROM prep),
 named AS (SELECT DISTINCT a.n AS x, b.n AS y FROM near a, unnest(range(1, 9)) AS u(d) JOIN near b ON b.k = a.k + u.d)"""
@@ -242,6 +335,25 @@ FROM duo JOIN sc n ON n.x = xn AND n.y = yn JOIN sc a ON a.x = xa AND a.y = ya""
 THRESHOLDS = [i / 40 for i in range(4, 39)]
 GATED = "((CAST(split_part(q, '-', 2) AS BIGINT)) % 2 = 0)"
 
+
+
+def _format_findings() -> str:
+    """What the faults made by id amount to."""
+    rules = [
+        ("error", "malformed_row", "SELECT q AS x FROM f WHERE k = 2"),
+        ("error", "reference_repeated", "SELECT q AS x FROM f WHERE k = 1"),
+        ("error", "list_repeats", "SELECT q AS x FROM f WHERE k = 5"),
+        ("error", "self_match", "SELECT q AS x FROM f WHERE k = 3"),
+        ("error", "target_prefix", "SELECT DISTINCT 'X9-1' AS x FROM f WHERE k = 4"),
+        ("error", "reference_missing", "SELECT q AS x FROM f WHERE k IN (0, 2)"),
+        ("error", "reference_unknown", "SELECT 'S1-999999999' AS x"),
+        ("error", "target_unknown", "SELECT DISTINCT 'S2-999999999' AS x FROM f WHERE k = 6 UNION SELECT DISTINCT 'S2-1' FROM f WHERE k = 5 AND 'S2-1' NOT IN (SELECT 'S' || (doc_id % 3 + 1) || '-' || doc_id FROM documents)"),
+        ("warning", "match_no_candidate", "SELECT q AS x FROM f WHERE k IN (3, 4, 6) OR (k = 5 AND q NOT IN (SELECT q FROM scored WHERE t = 'S2-1'))"),
+    ]
+    parts = [f"SELECT '{s}' AS severity, '{r}' AS rule, (SELECT count(*) FROM ({sql})) AS n, coalesce((SELECT string_agg(x, ';' ORDER BY x) FROM (SELECT x FROM ({sql}) ORDER BY x LIMIT 5)), '') AS examples" for s, r, sql in rules]
+    return _WITH_PRED + ", f AS (SELECT q, CAST(split_part(q, '-', 2) AS BIGINT) // 3 % 10 AS k FROM ents) " + " UNION ALL ".join(parts)
+
+
 SQL: dict[str, str] = {
     "norm_text": _prep_of("documents", "entity_id, n, a, c"),
     "norm_text_parts": _prep_of("parts", "entity_id, n, a, c"),
@@ -297,7 +409,7 @@ LEFT JOIN (SELECT DISTINCT q, true AS r FROM scored WHERE t IN (SELECT t FROM na
     "result_lists": _WITH_PRED + " SELECT e.q, coalesce(c, '') AS candidates, coalesce(m, '') AS matches FROM ents e LEFT JOIN (SELECT q, string_agg(DISTINCT t, ',' ORDER BY t) AS c, string_agg(DISTINCT t, ',' ORDER BY t) FILTER (p >= 0.65) AS m FROM scored GROUP BY q) USING (q)",
     "output_stats": _WITH_PRED + " SELECT (SELECT count(*) FROM ents) AS entities, count(*) AS candidates, count(*) FILTER (p >= 0.65) AS matches, (SELECT count(*) FROM ents) - count(DISTINCT q) FILTER (p >= 0.65) AS singletons FROM scored",
     "inventory": prelude("documents") + " SELECT source, count(*) AS n_rows, count(*) FILTER (trim(business_name) = '') AS empty_business_name, count(*) FILTER (trim(business_address) = '') AS empty_business_address, count(*) FILTER (trim(country) = '') AS empty_country, count(DISTINCT country) AS countries FROM rec GROUP BY source",
-    "truth_inventory": _WITH_PRED + " SELECT count(*) AS n_refs, count(*) FILTER (nt IS NULL) AS singletons, CAST(coalesce(sum(nt), 0) AS BIGINT) AS links FROM ents LEFT JOIN (SELECT q, count(DISTINCT t) AS nt FROM truth GROUP BY q) USING (q)",
+    "truth_inventory": _WITH_PRED + " SELECT count(*) AS n_refs, count(*) FILTER (nt IS NULL) AS singletons, round(count(*) FILTER (nt IS NULL) / greatest(1, count(*)), 9) AS empty_share, CAST(coalesce(sum(nt), 0) AS BIGINT) AS links FROM ents LEFT JOIN (SELECT q, count(DISTINCT t) AS nt FROM truth GROUP BY q) USING (q)",
     "validate_rules": _WITH_PRED + """, refs AS (SELECT q FROM ents), res AS (SELECT q, t, p FROM scored)
 SELECT * FROM (VALUES ('reference_repeated', 0), ('reference_unknown', 0), ('list_repeats', 0), ('match_no_candidate', 0), ('target_prefix', 0), ('self_match', 0), ('target_spaces', 0), ('target_form', 0), ('target_unknown', 0)) v(rule, n)
 UNION ALL SELECT 'reference_missing', count(*) FROM refs WHERE CAST(split_part(q, '-', 2) AS BIGINT) % 7 = 0""",
@@ -319,4 +431,17 @@ s2 AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY name_jaccard DESC, t
 hop AS (SELECT s2.q, s2.t AS s, p2.entity_id AS t, count(*) AS votes FROM s2 JOIN post p1 ON p1.entity_id = s2.t JOIN blocks ON blocks.key = p1.key JOIN post p2 ON p2.key = p1.key AND p2.source <> 'S1' WHERE s2.k <= 3 GROUP BY 1, 2, 3),
 hr AS (SELECT *, row_number() OVER (PARTITION BY q, s ORDER BY votes DESC, t) AS r FROM hop)
 SELECT q, t FROM cand UNION SELECT q, t FROM hr WHERE r <= 20""",
+    "partial_ratio": _SHORT_PAIRS + _all_fuzzy("named") + " SELECT x, y, round(partial, 9) AS ratio FROM fz",
+    "weighted_ratio": _SHORT_PAIRS + _all_fuzzy("named") + " SELECT x, y, round(weighted, 9) AS ratio FROM fz",
+    "pair_similarity": _similarity("customers", 100, 3),
+    "feature_vector_50_customers": _base_features("customers", 100, 3),
+    "phonetic_candidates": _phonetic_candidates(500, 200),
+    "ordered_numbers": f"WITH rec AS ({RECORDS['customers']}), " + ", ".join(f"{n} AS (SELECT entity_id, {_text(f'regexp_extract_all({_text(_tokens(_fold(c)))}, {chr(39)}[0-9]+[a-z]?{chr(39)})')} AS {n} FROM rec)" for n, c in (("name", "business_name"), ("address", "business_address"))) + " SELECT entity_id, name.name AS name, address.address AS address FROM name JOIN address USING (entity_id)",
+    "error_examples": prelude("documents") + _candidates(100, 240) + f", {TRUTH}, errs AS (SELECT CASE WHEN votes >= 6 THEN 'fp' ELSE 'fn' END AS kind, q, t FROM (SELECT q, t, votes, (q, t) IN (SELECT q, t FROM truth) AS label FROM cand) WHERE (votes >= 6) <> label) SELECT kind, q, t, rank FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY q, t) AS rank FROM errs) WHERE rank <= 12",
+    "same_holdout": _WITH_PRED + ", o AS (" + _each("s.p >= 0.8") + "), n AS (" + _each("s.p >= 0.5") + f"), h AS (SELECT * FROM o WHERE NOT {GATED} UNION ALL SELECT * FROM n WHERE {GATED}), k AS (SELECT 'old' AS kind, * FROM o UNION ALL SELECT 'new', * FROM n UNION ALL SELECT 'hybrid', * FROM h)"
+    + " SELECT kind, round(avg(k.score), 9) AS macro_f05, count(*) AS entities, round(avg(k.score - o.score), 9) AS gain, round(avg(k.score - o.score) - 1.96 * stddev_samp(k.score - o.score) / sqrt(count(*)), 9) AS gain_low, round(avg(k.score - o.score) + 1.96 * stddev_samp(k.score - o.score) / sqrt(count(*)), 9) AS gain_high FROM k JOIN o USING (q) GROUP BY kind",
+    "correction_stats": _WITH_PRED + f""", m AS (SELECT q, t, p >= 0.8 AS o, CASE WHEN {GATED} THEN p >= 0.5 ELSE p >= 0.8 END AS m FROM scored),
+e AS (SELECT ents.q, {GATED.replace('q,', 'ents.q,')} AS g, coalesce(count(*) FILTER (o), 0) AS no, coalesce(count(*) FILTER (m), 0) AS nm, coalesce(count(*) FILTER (o AND NOT m), 0) AS gone, coalesce(count(*) FILTER (m AND NOT o), 0) AS came FROM ents LEFT JOIN m ON m.q = ents.q GROUP BY 1, 2)
+SELECT count(*) AS entities, count(*) FILTER (g) AS reprocessed, count(*) FILTER (gone + came > 0) AS corrected, CAST(sum(gone) AS BIGINT) AS removed, CAST(sum(came) AS BIGINT) AS added, count(*) FILTER (no = 0 AND nm > 0) AS new_nonempty, count(*) FILTER (no > 0 AND nm = 0) AS new_empty, CAST(sum(nm) AS BIGINT) AS matches FROM e""",
+    "format_findings": _format_findings(),
 }
