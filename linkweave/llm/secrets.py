@@ -23,7 +23,6 @@ import random
 import re
 from bisect import bisect_left
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -116,12 +115,21 @@ class Novelty:
         self.p = p
         primed = zstandard.ZstdCompressionDict(IDENTIFIERS.lower(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.press = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False)
-        self.random_cost = lru_cache(maxsize=65536)(self._random_cost)
+        self.random_costs: dict[tuple[str, int], float] = {}
 
     def _marginal(self, around: bytes, token: bytes) -> float:
         """Bytes that the token adds, a byte of it."""
         return (len(self.press.compress(around + b" " + token)) - len(self.press.compress(around + b" "))) / len(token)
 
+    def random_cost(self, alphabet: str, length: int) -> float:
+        """Mean cost a character of random strings of an alphabet; there are at most some hundred alphabets."""
+        found = self.random_costs.get((alphabet, length))
+        if found is None:
+            if len(self.random_costs) >= 65536:
+                self.random_costs.clear()
+            found = self.random_costs[alphabet, length] = self._random_cost(alphabet, length)
+        return found
+
     def _random_cost(self, alphabet: str, length: int) -> float:
         made = ["".join(random.Random(length * 31 + k).choices(alphabet, k=length)) for k in range(self.p.seeds)]
         return sum(self._marginal(CARRIER, x.lower().encode()) for x in made) / len(made)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one step of a vectorised pass takes at once, unless one document is longer.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -105,12 +105,19 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the rows of an Arrow batch, unless the session has a smaller bound."""
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 8_000_000) -> None:
+    """Bound the rows and bytes of an Arrow batch, unless the session has smaller bounds; one row may be larger.
+
+    Spark reads these settings when it plans, so they stay set in the session.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "64m"))
+    if own <= 0 or own > size:
+        spark.conf.set(key, f"{size}b")
 
 
 def held_out(doc_id: str = "doc_id"):

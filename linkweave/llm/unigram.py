@@ -20,7 +20,8 @@ from __future__ import annotations
 
 import math
 import zlib
-from dataclasses import dataclass, field
+from array import array
+from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
@@ -41,7 +42,7 @@ class Unigram:
 
     model: str = ""
     unknown: float = 10.0
-    remembered: int = 250_000
+    remembered: int = 120_000
     unit_bytes: int = 48
 
     @property
@@ -56,9 +57,9 @@ class DoubleArray:
     value[s] is the piece that ends in s, or -1.
     """
 
-    base: list[int] = field(default_factory=list)
-    check: list[int] = field(default_factory=list)
-    value: list[int] = field(default_factory=list)
+    base: array
+    check: array
+    value: array
 
     @classmethod
     def build(cls, keys: dict[bytes, int]) -> DoubleArray:
@@ -106,7 +107,8 @@ class DoubleArray:
                 value[to] = ends[child]
                 queue.append((child, to))
         size = int(np.flatnonzero(used)[-1]) + 258
-        return cls(base[:size], check[:size], value[:size])
+        # Four bytes a place; they go to every worker.
+        return cls(*(array("i", a[:size]) for a in (base, check, value)))
 
 
 class Codec:
@@ -255,8 +257,8 @@ class Codec:
 
 
 #: Characters of texts whose units are looked up together, unless one text is longer; and units that walk side by side.
-GROUP_CHARS = 2_000_000
-SIDE_BY_SIDE = 16_384
+GROUP_CHARS = 1_000_000
+SIDE_BY_SIDE = 8_192
 
 
 class Encoder:
