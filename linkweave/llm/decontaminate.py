@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkweave.llm.support import append_columns, settle, small_batches
+from linkweave.llm.support import append_columns, settle, small_batches, thrifty
 
 #: Lower-cases A-Z and blanks all bytes outside words, which are digits, letters and any byte from 0x80.
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -273,5 +273,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam
                 batch = batch.set_column(at, "text", pa.array(texts, pa.string()))
             yield batch.drop_columns([hit])
 
-    out = clean.mapInArrow(run, docs.schema)
+    out = clean.mapInArrow(thrifty(run), docs.schema)
     return out.select(docs.columns)

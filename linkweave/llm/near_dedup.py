@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkweave.llm import hashing
-from linkweave.llm.support import settle, small_batches, text_slices
+from linkweave.llm.support import settle, small_batches, text_slices, thrifty
 
 
 @dataclass(frozen=True)
@@ -125,7 +125,7 @@ def signatures(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *made], ["id", "h1", "h2", "n_shingles", "class", "sig", "parity"])
 
     small_batches(docs.sparkSession)
-    return _hashed(docs, id_col, text_col).mapInArrow(run, f"id {kind}, h1 long, h2 long, n_shingles long, class binary, sig array<int>, parity array<long>")
+    return _hashed(docs, id_col, text_col).mapInArrow(thrifty(run), f"id {kind}, h1 long, h2 long, n_shingles long, class binary, sig array<int>, parity array<long>")
 
 
 def _same_row(names: tuple[str, str, str]):
@@ -148,7 +148,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, p: NearDedup, id_col: str, te
             )
 
     # Rows that repeat with their id and text yield one class several times.
-    return found.mapInArrow(run, "class binary, shingles array<long>").dropDuplicates(["class"])
+    return found.mapInArrow(thrifty(run), "class binary, shingles array<long>").dropDuplicates(["class"])
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, p: NearDedup) -> DataFrame:

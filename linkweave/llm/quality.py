@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkweave.llm import hashing
-from linkweave.llm.support import append_columns, held_out, settle, small_batches, text_slices
+from linkweave.llm.support import append_columns, held_out, settle, small_batches, text_slices, thrifty
 
 
 @dataclass(frozen=True)
@@ -269,4 +269,4 @@ def accepted(docs: DataFrame, labels: DataFrame, p: Quality = Quality()) -> Data
             x = statistics(batch.column(batch.schema.get_field_index("text")))
             yield batch.filter(pa.array(shipped.value.score(x.astype(np.float64)) >= p.cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(thrifty(run), docs.schema)
