@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkweave.llm import hashing
-from linkweave.llm.support import settle, small_batches, text_slices, thrifty
+from linkweave.llm.support import settle, small_batches, text_slices, thrifty, unsettle
 
 
 @dataclass(frozen=True)
@@ -173,24 +173,24 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of (a, b) edges; root is the smallest node of its component.
 
     Alternating large and small stars; each pass halves what is left of a component's depth, and a
-    pass is two grouped minima and joins, so no neighbourhood is ever collected.
+    pass is two grouped minima and joins, so no neighbourhood is ever collected. An edge's a is the
+    greater node, and no step makes more edges than it gets. A settled frame goes when the next is there.
     """
-    e = settle(edges.select("a", "b").where("a <> b").distinct())
+    e = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     while True:
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a")
-        new = settle(small.select("b", "m").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct())
+        both = e.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+        ends = settle(both.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")))
         # At the end every node but a root has one edge, and to a root.
-        ends = new.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(new.select("b", F.lit(0), F.lit(1)))
-        done = ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").limit(1)
+        if ends.where("low < a AND low <> high").isEmpty():
+            unsettle(e)
+            return ends.select(F.col("a").alias("node"), F.least("a", "low").alias("root"))
+        least = ends.select(F.col("a"), F.least("a", "low").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        new = settle(small.select(F.inline(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))).where("a <> b").distinct())
+        unsettle(e)
+        unsettle(ends)
         e = new
-        if done.isEmpty():
-            break
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def _mixed(postings: DataFrame, root: DataFrame | None) -> DataFrame:
@@ -238,8 +238,11 @@ def _linked(docs: DataFrame, p: NearDedup, id_col: str, text_col: str) -> tuple[
     links: list[DataFrame] = []
     tried: list[DataFrame] = []
     root = None
+    last = open_
     for turn in range(p.pivots + 1):
         now = _mixed(now, root)
+        unsettle(last)
+        last = now
         if now.isEmpty():
             break
         other = now.select(F.col("key").alias("key2"), F.col("class").alias("b"), F.col("root").alias("r2"), F.col("n").alias("n2"), F.col("parity").alias("p2"), F.col("head").alias("head2"), "members")
@@ -270,16 +273,17 @@ def _linked(docs: DataFrame, p: NearDedup, id_col: str, text_col: str) -> tuple[
         got = _confirmed(pairs, classes, sets, p)
         if not got.isEmpty():
             links.append(got)
-            root = settle(components(reduce(DataFrame.union, links)))
+            root = components(reduce(DataFrame.union, links))
         now = left
 
     named = classes.select("class", F.col("rep").alias("own"), "copies", F.col("class").alias("root"), "rep")
     if root is not None:
-        in_one = named.select("class", "own").join(root.withColumnRenamed("node", "class"), "class")
-        least = in_one.groupBy("root").agg(F.min("own").alias("least"))
-        moved = in_one.join(least, "root").select("class", F.col("root").alias("to"), "least")
-        named = named.join(moved, "class", "left").select("class", "own", "copies", F.coalesce("to", "root").alias("root"), F.coalesce("least", "rep").alias("rep"))
-    return rows, settle(named)
+        moved = named.drop("root", "rep").join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        named = moved.join(moved.groupBy("root").agg(F.min("own").alias("rep")), "root").select("class", "own", "copies", "root", "rep")
+    named = settle(named)
+    for done in (classes, firsts, sets, last, *tried, *links):
+        unsettle(done)
+    return rows, named
 
 
 def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

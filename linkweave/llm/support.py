@@ -41,12 +41,29 @@ def forget(spark: SparkSession, path: str) -> None:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder, which survives lost executors."""
+    """Cut the lineage with a reliable checkpoint in the shared folder, which survives lost executors.
+
+    The shuffle files that made it go at once; Spark else keeps them until the driver collects its garbage.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    own = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        # A frame keeps the setting that it was made under, and nothing else runs this one.
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, own)
+
+
+def unsettle(df: DataFrame) -> None:
+    """Delete the files of a settled frame that nothing reads any more."""
+    at = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if at.isDefined():
+        forget(df.sparkSession, at.get())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,4 +1,7 @@
+import glob
+import os
 import random
+import time
 
 import pytest
 from compare import SF, canon, connect
@@ -6,7 +9,7 @@ from fixtures import ROWS, documents, near, prose
 
 from linkweave.llm.near_dedup import NearDedup, components, near_duplicates
 from linkweave.llm.sql_near_dedup import SQL
-from linkweave.llm.support import table
+from linkweave.llm.support import settle, table
 
 
 def shingles(text, k):
@@ -88,3 +91,42 @@ def test_many_rows_without_an_id_or_of_one(spark, same):
     nine = 5 if same else 9  # a near copy of the first two
     assert len(got) == len(rows) and all(r.component_id == (nine if r.doc_id == 9 else same) or r.component_id == nine for r in got)
     assert sum(r.component_id == nine for r in got) == (len(rows) if same else 3)
+
+
+def files_of(spark):
+    """The shuffle files that the session's disk holds, and the folders of its checkpoints."""
+    sc = spark.sparkContext
+    local = sc._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffled = {f for d in local for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    folder = sc._jsc.sc().getCheckpointDir()
+    return shuffled, set(glob.glob(folder.get().removeprefix("file:") + "/rdd-*")) if folder.isDefined() else set()
+
+
+def test_what_is_settled_leaves_no_shuffle_files(spark):
+    before, _ = files_of(spark)
+    frame = settle(spark.range(100).selectExpr("id % 7 AS k").groupBy("k").count())
+    for _ in range(50):  # executors delete them a moment later
+        left = files_of(spark)[0] - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and frame.count() == 7
+    assert frame.groupBy("count").count().count() == 2
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_frames_that_nothing_reads_go(spark):
+    """Of the frames that are settled on the way, rows, names and each turn's components stay."""
+    _, before = files_of(spark)
+    out = near_duplicates(documents(spark, [(i, near(prose(i // 4, 60), i % 4)) for i in range(40)]))
+    assert len(files_of(spark)[1] - before) <= 4
+    assert out.where("kept").count() == 10
+
+
+def test_a_pass_of_components_makes_few_shuffles(spark):
+    """A star that is one already needs its distinct edges and its ends, and no pass."""
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    edges = settle(spark.createDataFrame([(bytes([i + 1]), b"\x00") for i in range(20)], "a binary, b binary"))
+    before = jobs()
+    assert components(edges).where("root = X'00'").count() == 21
+    assert jobs() - before <= 8
