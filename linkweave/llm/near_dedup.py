@@ -321,6 +321,8 @@ def deduplicated(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "doc
     kept = settle(kept)
     goes = sets.select("id", "h1", "h2").distinct().join(kept.where("n = 1"), _same_row(("i1", "a1", "b1")), "left_anti")
     goes = settle(goes.select(F.col("id").alias("i1"), F.col("h1").alias("a1"), F.col("h2").alias("b1")))
+    unsettle(rows)
+    unsettle(named)
     text = F.col(text_col)
     marked = docs.select(*docs.columns, F.col(id_col).alias("__i"), F.xxhash64(text).alias("__a"), F.xxhash64(F.lit(7), text).alias("__b"))
     same = lambda i, a, b: F.col("__i").eqNullSafe(F.col(i)) & (F.col("__a") == F.col(a)) & (F.col("__b") == F.col(b))

@@ -7,7 +7,7 @@ import pytest
 from compare import SF, canon, connect
 from fixtures import ROWS, documents, near, prose
 
-from linkweave.llm.near_dedup import NearDedup, components, near_duplicates
+from linkweave.llm.near_dedup import NearDedup, components, deduplicated, near_duplicates
 from linkweave.llm.sql_near_dedup import SQL
 from linkweave.llm.support import settle, table
 
@@ -123,6 +123,14 @@ def test_frames_that_nothing_reads_go(spark):
     assert out.where("kept").count() == 10
 
 
+def test_kept_rows_need_no_signatures(spark):
+    """What goes and what repeats stays settled, and each turn's components."""
+    _, before = files_of(spark)
+    out = deduplicated(documents(spark, [(i, near(prose(i // 4, 60), i % 4)) for i in range(40)] + [(0, near(prose(0, 60), 0))]))
+    assert len(files_of(spark)[1] - before) <= 4
+    assert sorted(r.doc_id for r in out.collect()) == list(range(0, 40, 4))
+
+
 def test_a_pass_of_components_makes_few_shuffles(spark):
     """A star that is one already needs its distinct edges and its ends, and no pass."""
     jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
